@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe
+from tidewatch.llm import bpe, decontaminate, secrets, url_filter
 
-QUERIES = {"op1_bpe": bpe.op1_bpe}
+QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_secrets": secrets.op7_secrets,
+    "op9_url_filter": url_filter.op9_url_filter,
+}
 ORACLES: dict[str, str] = {}
