@@ -58,18 +58,19 @@ def language_model(counted: DataFrame) -> DataFrame:
     """(gram, gain) from rows (gram, yes, no): how much likelier its last symbol is after the others where accepted."""
     n = counted.select("gram", "yes", "no", F.substring("gram", 1, 2).alias("h2"), F.substring("gram", 2, 1).alias("h1"), F.substring("gram", 2, 2).alias("g2"), F.substring("gram", 3, 1).alias("g1"))
     sums = {k: n.groupBy(k).agg(F.sum("yes").alias(f"yes_{k}"), F.sum("no").alias(f"no_{k}")) for k in ("h2", "h1", "g2", "g1")}
-    total = n.groupBy(F.lit(1).alias("one")).agg(F.sum("yes").alias("yes_n"), F.sum("no").alias("no_n"))
-    n = n.withColumn("one", F.lit(1))
-    for k, s in (*sums.items(), ("one", total)):
+    total = dict(zip(("yes", "no"), (x or 0 for x in counted.agg(F.sum("yes"), F.sum("no")).first())))
+    if not all(total.values()):
+        return counted.select("gram", F.lit(0.0).alias("gain"))
+    for k, s in sums.items():
         n = n.join(F.broadcast(s), k)
     gain = F.lit(0.0)
     for side, sign in (("yes", 1), ("no", -1)):
         c = lambda k: F.col(f"{side}_{k}")  # noqa: E731, B023
-        p = (c("g1") + 1.0) / (c("n") + float(len(ALPHABET)))
+        p = (c("g1") + 1.0) / (float(total[side] + len(ALPHABET)))
         p = (c("g2") + WEIGHT * p) / (c("h1") + WEIGHT)
         p = (F.col(side) + WEIGHT * p) / (c("h2") + WEIGHT)
         gain = gain + sign * F.log(p)
-    return n.select("gram", F.when((F.col("yes_n") > 0) & (F.col("no_n") > 0), gain).otherwise(0.0).alias("gain"))
+    return n.select("gram", gain.alias("gain"))
 
 
 def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules=RULES) -> DataFrame:
@@ -79,9 +80,10 @@ def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
     rows = pages.select(*keep, host.alias("host"), path.alias("path"), folded(F.col(url)).alias("s")).withColumns({"rule": rule, "decided": decided})
     urls = rows.groupBy("s").agg(F.sum(F.when(F.col("decided") == "allow", 1).otherwise(0)).alias("yes"), F.sum(F.when(F.col("decided") == "block", 1).otherwise(0)).alias("no"))
     exploded = urls.select("s", "yes", "no", F.explode(grams(F.col("s"))).alias("gram"))
-    model = saved(language_model(exploded.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))))
+    model = saved(language_model(saved(exploded.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))))
     scores = urls.select("s", F.explode(grams(F.col("s"))).alias("gram")).join(F.broadcast(model), "gram").groupBy("s").agg((F.sum("gain") / F.count("*")).alias("score"))
-    judged = saved(rows.join(scores, "s").drop("s"))
+    # Written first, so that the join below is a plain one whose frequent keys Spark can split.
+    judged = saved(rows.join(saved(scores), "s").drop("s"))
     mid = tuple(judged.agg(F.avg(F.when(F.col("decided") == "allow", F.col("score"))), F.avg(F.when(F.col("decided") == "block", F.col("score")))).first())
     threshold = (mid[0] + mid[1]) / 2 if None not in mid else 0.0
     verdict = F.coalesce("decided", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
