@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, decontaminate, html_text, jaccard_join, lm_score, near_vectors, quality, secrets, url_filter
+from tidewatch.llm import bpe, decontaminate, html_text, jaccard_join, lm_score, near_vectors, quality, secrets, substring_dedup, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_near_vectors": near_vectors.op8_near_vectors,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
