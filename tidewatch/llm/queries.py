@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from tidewatch.llm import bpe, decontaminate, html_text, jaccard_join, lm_score, near_vectors, quality, secrets, substring_dedup, url_filter
 
 QUERIES = {
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_near_vectors": near_vectors.op8_near_vectors,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
