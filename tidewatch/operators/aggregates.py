@@ -97,8 +97,9 @@ def from_items(op: str, items: Column, n: int | None = None) -> Column:
         arrived = F.transform(F.array_sort(F.transform(items, lambda s: F.struct(s["seq"], s["v"]))), lambda s: s["v"])
         return F.array_distinct(arrived) if op == "distinct" else arrived
     if op == "merge":
-        # later entries come last, and the last of a key stays
-        entries = F.flatten(F.transform(by_time, lambda s: F.map_entries(s["v"])))
+        # later entries come last, and the last of a key stays; maps have no order, so only times are compared
+        order = lambda a, b: F.when(F.struct(a["ts"], a["seq"]) < F.struct(b["ts"], b["seq"]), -1).otherwise(1)
+        entries = F.flatten(F.transform(F.array_sort(items, order), lambda s: F.map_entries(s["v"])))
         keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
         return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"])))
     if op == "merge_value":

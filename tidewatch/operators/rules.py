@@ -25,6 +25,7 @@ from tidewatch.plans.variables import Graph
 
 DEDUP, MOST_PARTIAL = 300, 16
 ALGORITHMS = ("count", "distinct_count", "sum")
+PLACE = ("geo_province", "geo_city", "uri_stem")
 EXPLAIN = "map<string,struct<value:string,operator:string,threshold:string>>"
 
 
@@ -139,8 +140,8 @@ class Compiler:
         note = F.struct(F.lit(label(o)).alias("key"), F.struct(left.cast("string").alias("value"), F.lit(node["op"]).alias("operator"), threshold.alias("threshold")).alias("value"))
         return value, F.array(note)
 
-    def hits(self, s: Strategy) -> DataFrame:
-        """(key, ts, seq, explanation, fields) of the events that a strategy holds for, before deduplication."""
+    def hit(self, s: Strategy) -> tuple[Column, Column, Column, list[Column]]:
+        """(whether it holds, subject, explanation, further fields) of a strategy on each event."""
         holds, notes = self.tree(s.condition)
         if s.event:
             holds = holds & self.events.matches(F.col("name"), s.event)
@@ -151,21 +152,37 @@ class Compiler:
         entries = F.aggregate(notes, F.create_map().cast(EXPLAIN), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
         explain = entries if s.action.get("explain", True) else F.create_map().cast(EXPLAIN)
         key = conditions.field(self.df, s.action.get("check_value", "uid")).cast("string")
-        place = {f: conditions.field(self.df, f).cast("string") for f in ("geo_province", "geo_city", "uri_stem")}
-        return self.df.where(holds).select(key.alias("key"), "ts", "seq", explain.alias("variable_values"), *(c.alias(f) for f, c in place.items()))
+        return holds, key, explain, [conditions.field(self.df, f).cast("string").alias(f) for f in PLACE]
+
+    def hits(self, s: Strategy) -> DataFrame:
+        """(key, ts, seq, explanation, fields) of the events that a strategy holds for, before deduplication."""
+        holds, key, explain, place = self.hit(s)
+        return self.df.where(holds).select(key.alias("key"), "ts", "seq", explain.alias("variable_values"), *place)
 
+    def all_hits(self, strategies: list[Strategy]) -> DataFrame:
+        """(strategy, key, ts, seq, explanation, fields) of many strategies in one pass over the stream."""
+        found = [(i, *self.hit(s)) for i, s in enumerate(strategies)]  # all counters are columns from here on
+        each = [F.when(holds & key.isNotNull() & (key != ""), F.struct(F.lit(i).alias("strategy"), key.alias("key"), explain.alias("variable_values"), *place)) for i, holds, key, explain, place in found]
+        return self.df.select("ts", "seq", F.explode(F.array_compact(F.array(*each))).alias("h")).select("h.*", "ts", "seq")
 
-def notices(hits: DataFrame, s: Strategy) -> DataFrame:
-    """The notices of a strategy's hits: one a hit that isn't within the deduplication time of the last one emitted."""
-    a = s.action
+
+def described(s: Strategy) -> dict[str, Column]:
+    """The fields of a strategy's notices that are the same in all of them."""
+    a, lit = s.action, F.lit
+    return {
+        "check_type": lit(a.get("check_type", "USER")), "strategy_name": lit(s.name), "scene_name": lit(a.get("scene", "")), "decision": lit(a.get("decision", "review")), "risk_score": lit(int(a.get("score", 0))),
+        "ttl": lit(int(a.get("ttl", 300)) * 1000), "remark": lit(a.get("remark", "")), "tags": F.array(*map(lit, a.get("tags", []))).cast("array<string>"), "test": lit(s.status == "test"), "window": lit(int(a.get("dedup_window", DEDUP)) * 1000),
+    }
+
+
+def notices(hits: DataFrame, strategies: list[Strategy]) -> DataFrame:
+    """The notices of hits (strategy: its number): those not within the deduplication time of the last one emitted."""
     hits = hits.where("key is not null and key <> ''")
-    kept = deduplicated(hits, ["key"], int(a.get("dedup_window", DEDUP)) * 1000)
-    lit = F.lit
-    return kept.select(
-        F.col("ts").alias("timestamp"), "key", lit(a.get("check_type", "USER")).alias("check_type"), lit(s.name).alias("strategy_name"), lit(a.get("scene", "")).alias("scene_name"),
-        lit(a.get("decision", "review")).alias("decision"), lit(int(a.get("score", 0))).alias("risk_score"), (F.col("ts") + int(a.get("ttl", 300)) * 1000).alias("expire"), lit(a.get("remark", "")).alias("remark"),
-        F.array(*map(lit, a.get("tags", []))).cast("array<string>").alias("tags"), lit(s.status == "test").alias("test"), "geo_province", "geo_city", "uri_stem", "variable_values",
-    )
+    about = F.array(*(F.struct(*(c.alias(n) for n, c in described(s).items())) for s in strategies))
+    windows_ = [int(s.action.get("dedup_window", DEDUP)) * 1000 for s in strategies]
+    kept = deduplicated(hits, ["strategy", "key"], windows_)
+    x = kept.withColumn("_a", F.get(about, F.col("strategy")))
+    return x.select(F.col("ts").alias("timestamp"), "key", *(F.col(f"_a.{n}") for n in ("check_type", "strategy_name", "scene_name", "decision", "risk_score")), (F.col("ts") + F.col("_a.ttl")).alias("expire"), "_a.remark", "_a.tags", "_a.test", *PLACE, "variable_values")
 
 
 def _fold(df: DataFrame, keys: list[str], start, step, schema=None) -> DataFrame:
@@ -188,16 +205,17 @@ def _fold(df: DataFrame, keys: list[str], start, step, schema=None) -> DataFrame
     return df.repartition(*keys).sortWithinPartitions(*keys, "seq").mapInPandas(run, schema)
 
 
-def deduplicated(hits: DataFrame, keys: list[str], window: int) -> DataFrame:
+def deduplicated(hits: DataFrame, keys: list[str], window: int | list[int]) -> DataFrame:
     """Hits that come at least window ms after the last one kept of the same keys, in order of arrival; 0 keeps all.
 
-    Only times are folded in Python; the rest of the row is joined back by (keys, seq).
+    A list has a window for each number in the column strategy. Only times are folded in Python; the rest of the row is
+    joined back by (keys, seq).
     """
-    if window <= 0:
+    if window in (0, [0]) or isinstance(window, list) and not any(window):
         return hits
 
     def step(state: dict, row: dict) -> list:
-        if "last" in state and row["ts"] - state["last"] < window:
+        if "last" in state and row["ts"] - state["last"] < (window if isinstance(window, int) else window[row["strategy"]]):
             return []
         state["last"] = row["ts"]
         return [tuple(row.values())]
@@ -333,8 +351,15 @@ def run(df: DataFrame, strategies: list[Strategy], events: Registry, graph: Grap
                         compiler.notices[key] = F.col(f"`{name}`")
                     else:
                         compiler.notices[key] = F.lit(0)
-            done[s.name] = notices(_hits(compiler, s), s)
-            out.append(done[s.name])
+        plain = [s for s in ready if not s.delay and not s.sequence]
+        # a later stratum counts a single strategy's notices, so only those that nobody asks for go together
+        together = [s for s in plain if not any(s.name in names for names in asked.values())]
+        if together:
+            out.append(notices(compiler.all_hits(together), together))
+        for s in ready:
+            if s not in together:
+                done[s.name] = notices(_hits(compiler, s).withColumn("strategy", F.lit(0)), [s])
+                out.append(done[s.name])
             live.remove(s)
     result = out[0]
     for x in out[1:]:

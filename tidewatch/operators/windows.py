@@ -72,7 +72,7 @@ def running(
     """df with the column out: the operator's value for each row's key after that row's event.
 
     Null keys are one key. ordered: each key's events arrive in strictly rising event time; else any order is right, and
-    rows that are late by more than lateness (see classify) count for nothing.
+    rows that are late by more than lateness (see classify) count for nothing, and see what lies up to lateness after them.
     """
     passed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     v = F.when(passed, v)
