@@ -4,9 +4,9 @@ Two word-bigram models, of the target texts and of all texts as the background,
 the same words, the same hashed vocabulary and the same smoothing. The score of a text is the mean over its words of
 -log p_target + log p_background: below zero where it reads more like the target.
 
-Words and pairs are counted in tables of hashed slots; the tables have one slot for every PER_SLOT bytes of text, from
-2^16 up to 2^22, a proven bound on what is broadcast (4 counts a slot, 64 MB at most). Beyond it, more pairs share a slot,
-but every word of every text is still counted and scored. Counts are summed within each task before they are shuffled.
+Words and pairs are counted in tables of 2^BITS hashed slots, a proven bound on what is broadcast (3 tables of 2 counts,
+24 MB). The counts cover every word of every text and grow with the corpus; more pairs then share a slot, as many in
+either model. They are summed within each task before they are shuffled.
 
 Null, empty and wordless texts score 0. Texts that share an id are counted and scored each. Without any target text the
 target model is uniform over its smoothing, for all alike.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import ship, table
 
-PER_SLOT, LEAST, MOST = 1024, 16, 21
+BITS = 20
 #: Pseudo-counts of the uniform distribution in the word model, and of the word model in the pair model.
 UNIFORM, WORD = 0.5, 2.0
 SLICE = 4 << 20
@@ -107,12 +107,10 @@ class Model:
         return (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1)
 
 
-def fit(texts: DataFrame) -> Model:
+def fit(texts: DataFrame, bits: int = BITS) -> Model:
     """Models counted from rows (text, target: boolean)."""
     spark = texts.sparkSession
     ship(spark)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST, max(LEAST, (size // PER_SLOT).bit_length()))
     counted = texts.mapInArrow(_counter(bits), "slot bigint, background bigint, target bigint")
     rows = counted.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     rows = rows.select(F.col("slot").cast("int"), F.col("background").cast("float"), F.col("target").cast("float")).toArrow()
