@@ -26,7 +26,7 @@ def strategies(n: int) -> list[rules.Strategy]:
     out = []
     for i in range(n):
         event = ("signup", "error", "click", "view", "purchase")[i % 5]
-        counter = {"kind": "counter", "counter": {"event": event, "window": (3600, 21_600, 86_400, 259_200)[i % 4], "algorithm": ("count", "sum", "count", "distinct_count")[i % 4], "operand": [(None, "amount", None, "grp")[i % 4]], "groupby": ["uid"]}}
+        counter = {"kind": "counter", "counter": {"event": event, "window": (3600, 21_600, 86_400, 259_200)[i % 4], "algorithm": ("count", "sum", "count", "distinct_count")[i % 4], "operand": [[], ["amount"], [], ["grp"]][i % 4], "groupby": ["uid"]}}
         tree = {"op": "and", "conditions": [{"left": {"kind": "event_field", "field": "amount"}, "op": ">", "right": {"kind": "constant", "value": str(i % 50)}}, {"left": counter, "op": ">", "right": {"kind": "constant", "value": str(1 + i % 3)}}]}
         out.append(rules.Strategy(f"rule_{i}", tree, event, action={"check_value": "uid", "dedup_window": 300}))
     return out

@@ -14,6 +14,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewatch.functions import cel, conditions
@@ -89,6 +90,7 @@ class Compiler:
                 where = where & self.events.matches(F.col("name"), c["event"])
             operand = (c.get("operand") or [None])[0]
             x = conditions.field(self.df, operand) if operand else F.lit(1)
+            self.df = windows.with_keys(self.df, list(c.get("groupby") or ()))
             self.df = windows.running(self.df, out, c["algorithm"], Period("last_n_seconds", c["window"]), list(c.get("groupby") or ()), x, where=where, ordered=self.ordered)
             self.counters[key] = out
         return self.counters[key]
@@ -108,6 +110,12 @@ class Compiler:
             return F.col(f"`{self.counter(o.get('counter', o))}`")
         raise ValueError(f"unknown operand {kind!r}")
 
+    def kind(self, o: dict) -> T.DataType:
+        """The type of an operand, without analysing the plan again."""
+        if o["kind"] == "counter":
+            return T.DoubleType() if o.get("counter", o)["algorithm"] == "sum" else T.LongType()
+        return self.kinds.get(o["field"], T.NullType()) if o["kind"] == "event_field" else self.df.schema[o["name"]].dataType
+
     def tree(self, node: dict | None) -> tuple[Column, Column]:
         """(whether it holds, its explanation entries): only comparisons that are reached explain; and/or stop early."""
         none = F.array().cast(f"array<struct<key:string,value:struct<value:string,operator:string,threshold:string>>>")
@@ -130,7 +138,7 @@ class Compiler:
             return cel.compile_cel(self.df, node["cel"], self.zone, self.locate, self.notices), none
         left, right = self.operand(node["left"]), node["right"]
         o = node["left"]
-        kind = self.df.select(left.alias("x")).schema["x"].dataType
+        kind = self.kind(o)
         if right.get("kind", "constant") != "constant":
             r = self.operand(right)
             value = F.coalesce({"==": left == r, ">": left > r, ">=": left >= r, "<": left < r, "<=": left <= r}.get(node["op"], ~(left == r)), F.lit(node["op"] == "!="))

@@ -66,6 +66,12 @@ def frame(period: Period, keys: list[str], bucket: str | None, ts: str = "ts", s
     return w.rowsBetween(0, 0) if period.type in ("self", "") else w.rowsBetween(Window.unboundedPreceding, 0)
 
 
+def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns that windows are partitioned by, unless it has them: statistics that share them share a shuffle."""
+    new = {f"_key_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys if f"_key_{c}" not in df.columns}
+    return df.withColumns(new) if new else df
+
+
 def running(
     df: DataFrame, out: str, op: str, period: Period, keys: list[str], v: Column, g: Column | None = None, n: int | None = None, where: Column | None = None, ordered: bool = True, lateness: int = LATENESS, ts: str = "ts", seq: str = "seq"
 ) -> DataFrame:
@@ -76,12 +82,12 @@ def running(
     """
     passed = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     v = F.when(passed, v)
-    names = [f"_k{i}" for i in range(len(keys))]
-    keyed = df.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("")) for k, c in zip(names, keys)}) if keys else df
+    names = [f"_key_{c}" for c in keys]
+    keyed = with_keys(df, keys)
     bucket = period.bucket(F.col(ts))
     if bucket is not None:
         keyed = keyed.withColumn("_bucket", bucket)
-    extra = [*names, *(["_bucket"] if bucket is not None else [])]
+    extra = [*(k for k in names if k not in df.columns), *(["_bucket"] if bucket is not None else [])]
     if ordered or period.type in ("self", ""):
         w = frame(period, names, "_bucket" if bucket is not None else None, ts, seq)
         value = aggregates.aggregate(op, v, F.col(ts), F.col(seq), g, n, lambda c: c.over(w))

@@ -190,12 +190,14 @@ class _State:
         if grouped and v.param not in self.df.columns:
             x = F.lit(1)
         self.put(v, None, reached)
+        self.df = windows.with_keys(self.df, list(v.keys))
         out = windows.running(self.df, f"v:{v.name}", v.method, v.period, list(v.keys), x, g, v.number, F.col(f"`p:{v.name}`"), self.ordered, self.lateness)
         self.df = out
 
     def latest(self, name: str, keys: tuple[str, ...]) -> Column:
         """A source's newest value for the row's key, which may be older than the row."""
-        w = Window.partitionBy(*(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        self.df = windows.with_keys(self.df, list(keys))
+        w = Window.partitionBy(*(f"_key_{k}" for k in keys)).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
         return F.last(self.value(name), ignorenulls=True).over(w)
 
     def dual(self, v: Variable, reached: Column) -> None:
