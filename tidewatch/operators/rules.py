@@ -82,19 +82,37 @@ class Compiler:
         """The column of an inline counter; equal ones share it. A counter counts every event of its type in the stream."""
         key = json.dumps(c, sort_keys=True)
         if key not in self.counters:
-            if c["algorithm"] not in ALGORITHMS:
-                raise ValueError(f"unknown counter {c['algorithm']!r}")
             out = f"c:{len(self.counters)}"
-            where = conditions.filter_tree(self.df, c.get("filter"), self.locate)
-            if c.get("event"):
-                where = where & self.events.matches(F.col("name"), c["event"])
-            operand = (c.get("operand") or [None])[0]
-            x = conditions.field(self.df, operand) if operand else F.lit(1)
+            where, x = self.counted(c)
             self.df = windows.with_keys(self.df, list(c.get("groupby") or ()))
             self.df = windows.running(self.df, out, c["algorithm"], Period("last_n_seconds", c["window"]), list(c.get("groupby") or ()), x, where=where, ordered=self.ordered)
             self.counters[key] = out
         return self.counters[key]
 
+    def prepare(self, strategies: list[Strategy]) -> None:
+        """Add the counters of many strategies at once, where their windows are plain frames."""
+        asked = {json.dumps(o.get("counter", o), sort_keys=True): o.get("counter", o) for s in strategies for leaf in leaves(s.condition) for o in (leaf.get("left"), leaf.get("right")) if o and o.get("kind") == "counter"}
+        new = {k: c for k, c in asked.items() if k not in self.counters}
+        if not self.ordered or len(new) < 2:
+            return
+        self.df = windows.with_keys(self.df, sorted({g for c in new.values() for g in c.get("groupby") or ()}))
+        columns = {}
+        for key, c in new.items():
+            where, x = self.counted(c)
+            self.counters[key] = out = f"c:{len(self.counters)}"
+            columns[out] = windows.sliding(c["algorithm"], Period("last_n_seconds", c["window"]), list(c.get("groupby") or ()), F.when(where, x))
+        self.df = self.df.withColumns(columns)
+
+    def counted(self, c: dict) -> tuple[Column, Column]:
+        """(which events a counter counts, its operand)."""
+        if c["algorithm"] not in ALGORITHMS:
+            raise ValueError(f"unknown counter {c['algorithm']!r}")
+        where = conditions.filter_tree(self.df, c.get("filter"), self.locate)
+        if c.get("event"):
+            where = where & self.events.matches(F.col("name"), c["event"])
+        operand = (c.get("operand") or [None])[0]
+        return where, conditions.field(self.df, operand) if operand else F.lit(1)
+
     def variable(self, name: str) -> str:
         if name not in self.df.columns:
             self.df = self.graph.compile(self.df, [name], self.ordered)
@@ -169,6 +187,7 @@ class Compiler:
 
     def all_hits(self, strategies: list[Strategy]) -> DataFrame:
         """(strategy, key, ts, seq, explanation, fields) of many strategies in one pass over the stream."""
+        self.prepare(strategies)
         found = [(i, *self.hit(s)) for i, s in enumerate(strategies)]  # all counters are columns from here on
         each = [F.when(holds & key.isNotNull() & (key != ""), F.struct(F.lit(i).alias("strategy"), key.alias("key"), explain.alias("variable_values"), *place)) for i, holds, key, explain, place in found]
         return self.df.select("ts", "seq", F.explode(F.array_compact(F.array(*each))).alias("h")).select("h.*", "ts", "seq")

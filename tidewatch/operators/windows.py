@@ -66,6 +66,12 @@ def frame(period: Period, keys: list[str], bucket: str | None, ts: str = "ts", s
     return w.rowsBetween(0, 0) if period.type in ("self", "") else w.rowsBetween(Window.unboundedPreceding, 0)
 
 
+def sliding(op: str, period: Period, keys: list[str], v: Column, ts: str = "ts", seq: str = "seq") -> Column:
+    """A plain frame's value as an expression, for rows that with_keys has given their keys."""
+    w = frame(period, [f"_key_{k}" for k in keys], None, ts, seq)
+    return aggregates.aggregate(op, v, F.col(ts), F.col(seq), over=lambda c: c.over(w))
+
+
 def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with the columns that windows are partitioned by, unless it has them: statistics that share them share a shuffle."""
     new = {f"_key_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys if f"_key_{c}" not in df.columns}
