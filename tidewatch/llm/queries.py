@@ -19,4 +19,4 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_filter": url_filter.oracle()}

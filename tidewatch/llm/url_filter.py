@@ -91,4 +91,31 @@ def judge(pages: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id"
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score", "threshold")
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def oracle() -> str:
+    """The same result as DuckDB SQL, of one piece with the rules and constants above."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    rule = verdict = "NULL"
+    for what, h, p in sorted(RULES, key=lambda r: (len(r[1] + r[2]), len(r[1]))):
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{h}{p}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
+
+    def p(side: str) -> str:
+        one = f"(SUM({side}) OVER (PARTITION BY substr(gram, 3, 1)) + 1.0) / (SUM({side}) OVER () + {len(ALPHABET)})"
+        two = f"(SUM({side}) OVER (PARTITION BY substr(gram, 2, 2)) + {WEIGHT} * {one}) / (SUM({side}) OVER (PARTITION BY substr(gram, 2, 1)) + {WEIGHT})"
+        return f"({side} + {WEIGHT} * {two}) / (SUM({side}) OVER (PARTITION BY substr(gram, 1, 2)) + {WEIGHT})"
+
+    fold = f"regexp_replace(regexp_replace({lower("regexp_replace(coalesce(url, ''), '^.*?://', '', 's')")}, '[0-9]', '0', 'g'), '[^0a-z/.\\-_:?=#&%+@,;]', '~', 'g')"
+    return f"""
+WITH named AS (
+  SELECT page_id, coalesce({lower("regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, '^^' || {fold} || '$' AS s FROM pages
+), judged AS (SELECT *, {rule} AS rule, {verdict} AS decided FROM named
+), grams AS (SELECT s, decided, substr(s, i, 3) AS gram FROM (SELECT s, decided, unnest(range(1, length(s) - 1)) AS i FROM judged)
+), counted AS (SELECT gram, SUM(CASE WHEN decided = 'allow' THEN 1.0 ELSE 0.0 END)::DOUBLE AS yes, SUM(CASE WHEN decided = 'block' THEN 1.0 ELSE 0.0 END)::DOUBLE AS no FROM grams GROUP BY gram
+), model AS (SELECT gram, CASE WHEN SUM(yes) OVER () > 0 AND SUM(no) OVER () > 0 THEN ln({p("yes")}) - ln({p("no")}) ELSE 0 END AS gain FROM counted
+), scores AS (SELECT s, SUM(gain) / COUNT(*) AS score FROM (SELECT DISTINCT s, unnest(range(1, length(s) - 1)) AS i FROM judged) x JOIN model ON gram = substr(s, i, 3) GROUP BY s
+), scored AS (SELECT judged.*, score FROM judged JOIN scores USING (s)
+), middle AS (SELECT coalesce((AVG(score) FILTER (decided = 'allow') + AVG(score) FILTER (decided = 'block')) / 2, 0) AS threshold FROM scored)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score >= (SELECT threshold FROM middle) THEN 'allow' ELSE 'block' END) AS verdict FROM scored"""
