@@ -293,3 +293,19 @@ def test_streams_match_batches(spark, tmp_path, sf):
     s = rules.Strategy("s", sequence={"steps": [{"event": "view"}, {"event": "click"}], "within_seconds": day // 1000, "by": ["uid"]})
     both = Registry([EventType("view"), EventType("click")])
     assert {(r.seq, r.times) for r in done.collect()} == {(r.seq, ",".join(map(str, r.times))) for r in rules.sequences(rules.Compiler(e, both), s).collect()}
+
+
+def test_metadata(spark, tmp_path):
+    from tidewatch.sources import metadata
+
+    store = metadata.Store(spark, f"{tmp_path}/meta")
+    assert store.revision() == 0 and store.bundle() == {"revision": 0, "event": [], "variable": [], "strategy": []}
+    assert store.save("strategy", {"name": "s"}) == 1 and store.save("strategy", {"name": "s", "x": 1}, 1, "online") == 2
+    with pytest.raises(metadata.Conflict):
+        store.save("strategy", {"name": "s"}, 1)
+    assert store.bundle()["strategy"] == [{"name": "s", "x": 1, "status": "online"}] and store.revisions("strategy", "s").count() == 2
+    assert [tuple(r) for r in store.stats().collect()] == [("strategy", "online", 1)]
+    counter = {"kind": "counter", "event": "NONE", "window": 5, "algorithm": "median", "operand": [], "groupby": []}
+    bad = rules.Strategy("b", {"op": "and", "conditions": [{"left": counter, "op": "like", "right": {"kind": "constant", "value": "1"}}, {"left": {"kind": "variable", "name": "v"}, "op": "==", "right": {"kind": "constant", "value": "1"}}, {"cel": "x =="}]}, "LOGIN")
+    assert len(metadata.problems(bad, EVENTS)) == 5
+    assert metadata.problems(rules.Strategy("g", {"left": {"kind": "event_field", "field": "uid"}, "op": "==", "right": {"kind": "constant", "value": "1"}}, "LOGIN"), EVENTS) == []
