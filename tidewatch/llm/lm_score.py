@@ -135,5 +135,6 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that are labelled of quality 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    model = fit(docs.join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")))
+    # labels grow with the corpus, so they are merged at every size and never broadcast
+    model = fit(docs.join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")))
     return docs.select("doc_id", score(spark, F.col("text"), model).alias("ce_diff"))
