@@ -4,8 +4,8 @@
 2. Each set is ordered by that count, rarest first; two sets that are alike share a shingle among the first n - ceil(t n) + 1
    of each, the prefix. Equal sets are one class with one prefix, so copies are never paired.
 3. Classes meet in the shingles of their prefixes. First only neighbours in each shingle's list, ordered by size, are
-   candidates; what they link is joined to components. Then all pairs that meet and still lie in different components
-   are. So a crowd of near copies gives about as many candidates as members, and yet no link between components is lost.
+   candidates; what they link is joined to components. So are, in a few rounds, neighbours in other orders that lie in
+   different components; and last all pairs that meet and still lie in different ones. So a crowd of near copies gives about as many candidates as members, and yet no link between components is lost.
 4. Candidates pass the length filter, the positional filter (the places of a shared shingle bound the overlap) and the
    suffix filter (the sets' numbers of shingles in each range of hashes bound it too), and are verified once each on the
    whole sets.
@@ -22,38 +22,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import components, saved, ship, table
+from tidewatch.llm.common import components, release, saved, ship, table
 
 WORDS, PERCENT = 5, 75
-#: Slots of the table of counts: one for every PER_SLOT bytes of text, between these powers of two (8 MB at most).
-PER_SLOT, LEAST, MOST = 4096, 14, 20
+#: The table of counts has 2^BITS slots, 1 MB: enough to tell shingles that many texts share from others at any size.
+BITS = 17
 #: Ranges of hashes of the suffix filter; bits of the filter of ids whose sets are needed, 4 MB.
-RANGES, FILTER = 32, 25
-CACHED = 300_000
+RANGES, FULL, FILTER = 128, 32767, 25
+#: How often neighbours are compared in another order before all pairs that are left.
+ROUNDS = 2
+#: How many of a class's first open shingles a row carries.
+EARLY = 8
+#: Characters of text that are worked on at once.
+SLICE = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-class _Words(dict):
-    """Hashes of the words last seen; what was in use before it was full is kept aside."""
-
-    older: dict = {}
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.older.get(word) or xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = h
-        return h
-
-
-_words = _Words()
+_LETTER = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,45 +53,97 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
-    words = text.encode().translate(_LOWER).split() if text else []
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if not len(h):
-        return h
-    n = min(size, len(h))
-    total = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        total = _mix(total * _ODD[k % 5] + h[k : len(h) - n + 1 + k])
-    return np.unique(total)
+def _base(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        b = 0x9E3779B97F4A7C15
+        for k, x in enumerate((b, pow(b, -1, 1 << 64))):
+            p = np.full(max(n, 2 << 20), x, np.uint64)
+            p[0] = 1
+            _powers[k] = np.cumprod(p, dtype=np.uint64)
+    return [p[:n] for p in _powers]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of all texts in turn, and how many each text has."""
+    raw = [b"" if not t else t.encode().translate(_LOWER) for t in texts]
+    joined = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    if not len(joined):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    blank = (joined == 32) | ((joined >= 9) & (joined <= 13))
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]  # the last byte is blank, so every word ends
+    power, inverse = _base(len(joined) + 1)
+    sums = np.cumsum(_LETTER[joined] * power[:-1], dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), sums])
+    hashes = _mix((sums[end] - sums[start]) * inverse[start])
+    begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return hashes, np.diff(np.searchsorted(start, begins))
+
+
+def shingle_sets(texts: list[str | None], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, owners): the distinct shingles of all texts, ordered by text and then by hash."""
+    words, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    total = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for k in range(size):
+        total = (total ^ (total >> np.uint64(31))) * _ODD[k % 5] + words[k : len(words) - size + 1 + k]
+    whole = owner[size - 1 :] == owner[: len(total)] if len(total) else np.empty(0, bool)
+    hashes, owners = [_mix(total[whole])], [owner[: len(total)][whole]]
+    for d in np.flatnonzero((counts > 0) & (counts < size)):
+        h = np.full(1, counts[d], np.uint64)
+        for w in words[ends[d] - counts[d] : ends[d]]:
+            h = _mix(h * _ODD[0] + w)
+        hashes.append(h)
+        owners.append(np.full(1, d))
+    hashes, owners = np.concatenate(hashes), np.concatenate(owners)
+    order = np.lexsort((hashes, owners))
+    hashes, owners = hashes[order], owners[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
+    return hashes[new], owners[new]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of parts of about SLICE characters."""
+    part, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        t = t.as_py()
+        part.append(t)
+        size += len(t) if t else 0
+        if size >= SLICE:
+            yield first, part
+            part, size, first = [], 0, i + 1
+    if part:
+        yield first, part
 
 
 def class_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def prefix_of(hashes: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The rarest shingles of which sets alike must share one, rarest first; ties by hash."""
-    n = len(hashes)
-    if not n:
-        return hashes
+def prefixes(hashes: np.ndarray, owners: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lengths): each set's rarest shingles of which sets alike must share one, rarest first; ties by hash."""
     bits = len(counts).bit_length() - 1
-    order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - bits)).astype(np.int64)]))
-    return hashes[order[: n - -(-percent * n // 100) + 1]]
+    order = np.lexsort((hashes, counts[(hashes >> np.uint64(64 - bits)).astype(np.int64)], owners))
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+    length = np.where(n > 0, n + -(percent * n // 100) - (percent * n % 100 > 0) + 1, 0)
+    return hashes[order][place < np.repeat(length, n)], length
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
 def _counter(bits: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            part: list[np.ndarray] = []
-            for t in batch.column(0):
-                part.append((shingle_set(t.as_py(), size) >> np.uint64(64 - bits)).astype(np.int64))
-                if len(part) == 500:
-                    total += np.bincount(np.concatenate(part), minlength=1 << bits)
-                    part = []
-            if part:
-                total += np.bincount(np.concatenate(part), minlength=1 << bits)
+            for _, texts in _slices(batch.column(0)):
+                total += np.bincount((shingle_sets(texts, size)[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], ["slot", "n"])
@@ -108,38 +151,81 @@ def _counter(bits: int, size: int):
     return run
 
 
+def _classes(n: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    ends = np.cumsum(n)
+    return pa.array([class_of(hashes[e - k : e]) for k, e in zip(n.tolist(), ends.tolist())], pa.int64())
+
+
+def _describer(size: int):
+    """(id, n, class, ranges) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in _slices(batch.column(1)):
+                hashes, owners = shingle_sets(texts, size)
+                n = np.bincount(owners, minlength=len(texts))
+                ranges = np.bincount(owners * RANGES + (hashes >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=len(texts) * RANGES)
+                ranges = _lists(np.minimum(ranges, FULL).astype(np.int16), np.full(len(texts), RANGES))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n.astype(np.int32)), _classes(n, hashes), ranges], ["id", "n", "class", "ranges"])
+
+    return run
+
+
 def _prefixer(counts, size: int, percent: int):
+    """(class, n, prefix) of each text that has shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingle_set(t.as_py(), size) for t in part.column(1)]
-                ranges = [np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in sets]
-                arrays = [
-                    part.column(0),
-                    pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([class_of(s) for s in sets], pa.int64()),
-                    pa.array([prefix_of(s, counts.value, percent).view(np.int64) for s in sets], pa.list_(pa.int64())),
-                    pa.array(ranges, pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "class", "prefix", "ranges"])
+            for _, texts in _slices(batch.column(0)):
+                hashes, owners = shingle_sets(texts, size)
+                n = np.bincount(owners, minlength=len(texts))
+                prefix, length = prefixes(hashes, owners, n, counts.value, percent)
+                out = pa.RecordBatch.from_arrays([_classes(n, hashes), pa.array(n.astype(np.int32)), _lists(prefix.view(np.int64), length)], ["class", "n", "prefix"])
+                yield out.filter(pa.array(n > 0))
 
     return run
 
 
 def _setter(wanted, size: int):
+    """(class, set) of the rows that the filter of ids lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in batches:
-            ids = batch.column(2).to_numpy()
-            rows = np.flatnonzero(bits[ids >> 3] >> (ids & 7) & 1)
-            for at in range(0, len(rows), 1000):
-                sets = [shingle_set(batch.column(1)[i].as_py(), size) for i in rows[at : at + 1000].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "set"])
+            at = batch.column(1).to_numpy()
+            texts = batch.column(0).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for _, part in _slices(texts):
+                hashes, owners = shingle_sets(part, size)
+                n = np.bincount(owners, minlength=len(part))
+                yield pa.RecordBatch.from_arrays([_classes(n, hashes), _lists(hashes.view(np.int64), n)], ["class", "set"])
 
     return run
 
 
+def _met(rows: DataFrame, counts, size: int, percent: int) -> DataFrame:
+    """(shingle, class, n, place, class0, n0, place0): classes in the lists of their prefixes' shingles, where another of a
+    fitting size stands, with the one before in order of size if that fits. A class's prefix comes once, however many copies."""
+    prefix = rows.select("text").mapInArrow(_prefixer(counts, size, percent), "class bigint, n int, prefix array<bigint>")
+    prefix = prefix.groupBy("class", "n").agg(F.first("prefix").alias("prefix"))
+    list_ = Window.partitionBy("shingle").orderBy("at", "class")
+    met = prefix.select("class", "n", F.posexplode("prefix").alias("place", "shingle"))
+    met = met.select("shingle", "class", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("at"))
+    met = met.withColumns({"before": F.lag(F.struct("class", "at")).over(list_), "after": F.lead("at").over(list_)})
+    met = met.select("shingle", "class", *_unpacked("at", "n", "place"), F.col("before.class").alias("class0"), *_unpacked("before.at", "n0", "place0"), F.shiftright("after", 32).alias("n1"))
+    follows, leads = 100 * F.col("n0") >= percent * F.col("n"), 100 * F.col("n") >= percent * F.col("n1")
+    met = met.where(F.coalesce(follows, F.lit(False)) | F.coalesce(leads, F.lit(False))).drop("n1")
+    return met.withColumns({c: F.when(follows, F.col(c)) for c in ("class0", "n0", "place0")})
+
+
+def _open_lists(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """(shingle, class, n, place, component) of the lists whose classes lie in several components."""
+    known = met.select("shingle", "class", "n", "place").join(joined.withColumnRenamed("node", "class"), "class", "left")
+    whole = Window.partitionBy("shingle")
+    known = known.withColumn("component", F.coalesce("component", "class"))
+    known = known.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole)})
+    return known.where("low < high").drop("low", "high")
+
+
 def _id_bits(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size that lets these ids through, and others whose hashes meet one of theirs."""
     at = ids.select((F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER)).alias("h"))
@@ -150,6 +236,10 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _unpacked(at: str, n: str, place: str) -> tuple[Column, Column]:
+    return F.shiftright(at, 32).cast("int").alias(n), F.col(at).bitwiseAND(0x7FFFFFFF).cast("int").alias(place)
+
+
 def _enough(n1, n2, overlap, percent: int):
     """Whether such an overlap of sets of these sizes can reach the threshold."""
     return overlap * (100 + percent) >= percent * (n1 + n2)
@@ -160,7 +250,9 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     side = classes.select("class", "n", "ranges")
     for s in ("a", "b"):
         pairs = pairs.join(side.select(F.col("class").alias(s), F.col("n").alias(f"n{s}"), F.col("ranges").alias(f"r{s}")), s)
-    most = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    # a full range may hold any number
+    least = F.zip_with("ra", "rb", lambda x, y: F.when((x == FULL) & (y == FULL), 1 << 30).otherwise(F.least(x, y)).cast("long"))
+    most = F.aggregate(least, F.lit(0).cast("long"), lambda x, y: x + y)
     return pairs.where(_enough(F.col("na"), F.col("nb"), most, percent)).select("a", "b")
 
 
@@ -176,56 +268,72 @@ def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     ship(spark)
     sc = spark.sparkContext
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST, max(LEAST, (bytes_ // PER_SLOT).bit_length()))
-    counts = np.zeros(1 << bits, np.int64)
-    counted = rows.select("text").mapInArrow(_counter(bits, size), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BITS, np.int64)
+    counted = rows.select("text").mapInArrow(_counter(BITS, size), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    made = saved(rows.mapInArrow(_prefixer(sc.broadcast(counts), size, percent), "id bigint, n int, class bigint, prefix array<bigint>, ranges array<int>"))
-
+    made = saved(rows.select("id", "text").mapInArrow(_describer(size), "id bigint, n int, class bigint, ranges array<smallint>"))
     able = made.where("n > 0 and id is not null")
-    classes = able.groupBy("class", "n").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
-    # Neighbours in each shingle's list; shingles of one class only are dropped here.
-    near = Window.partitionBy("shingle").orderBy("n", "class")
-    met = classes.select("class", "n", "id", F.posexplode("prefix").alias("place", "shingle"))
-    met = met.withColumns({"before": F.lag(F.struct("class", "n", "place")).over(near), "after": F.lead("class").over(near)})
-    met = saved(met.where("before is not null or after is not null"))
+    classes = saved(able.groupBy("class", "n").agg(F.min("id").alias("id"), F.first("ranges").alias("ranges")))
+
+    met = saved(_met(rows.where("id is not null"), sc.broadcast(counts), size, percent))
+    release(spark)
     rest = lambda n, p: n - p - 1
-    length = 100 * F.col("before.n") >= percent * F.col("n")
-    bound = F.least("place", "before.place") + 1 + F.least(rest(F.col("n"), F.col("place")), rest(F.col("before.n"), F.col("before.place")))
-    first = met.where(length & _enough(F.col("n"), F.col("before.n"), bound, percent))
-    first = first.select(F.least("class", "before.class").alias("a"), F.greatest("class", "before.class").alias("b")).distinct()
-
-    few = classes.join(met.select("class").distinct(), "class", "left_semi")
-    few = saved(few.select("class", "n", "id", "ranges"))
-    needed = sc.broadcast(_id_bits(few.select("id")))
-    hashed = rows.where("id is not null").withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER))
-    sets = hashed.mapInArrow(_setter(needed, size), "class bigint, set array<bigint>")
-    sets = sets.join(few.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
-    sets = saved(sets)
-
-    first = saved(_filtered(first, few, percent))
+    bound = F.least("place", "place0") + 1 + F.least(rest(F.col("n"), F.col("place")), rest(F.col("n0"), F.col("place0")))
+    first = met.where(F.col("class0").isNotNull() & _enough(F.col("n"), F.col("n0"), bound, percent))
+    first = first.select(F.least("class", "class0").alias("a"), F.greatest("class", "class0").alias("b")).distinct()
+    first = saved(_filtered(first, classes, percent))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(class, set) of the classes in these pairs; a class may come more than once."""
+        some = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        needed = sc.broadcast(_id_bits(classes.join(some, "class", "left_semi").select("id")))
+        hashed = rows.where("id is not null").select("text", F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER).alias("h"))
+        return saved(hashed.mapInArrow(_setter(needed, size), "class bigint, set array<bigint>").dropDuplicates(["class"]))
+
+    sets = sets_of(first)
     links = saved(_verified(first, sets, percent))
-    joined = saved(components(links))
-    # All pairs that meet in a shingle and lie in different components by now.
-    known = met.select("shingle", "class", "n", "place").join(joined.withColumnRenamed("node", "class"), "class", "left")
-    known = known.withColumn("component", F.coalesce("component", "class"))
-    open_ = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    known = known.join(open_, "shingle")
-    other = known.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "place", "component")))
-    pairs = known.join(other, "shingle").where((F.col("class") < F.col("class2")) & (F.col("component") != F.col("component2")))
-    pairs = pairs.where((100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    pairs = pairs.groupBy(F.col("class").alias("a"), F.col("class2").alias("b"), "n", "n2").agg(F.min(F.struct("place", "place2")).alias("m"))
-    bound = 1 + F.least(rest(F.col("n"), F.col("m.place")), rest(F.col("n2"), F.col("m.place2")))  # no shingle before is shared
-    pairs = pairs.where(_enough(F.col("n"), F.col("n2"), bound, percent)).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = saved(_verified(_filtered(pairs, few, percent), sets, percent))
-    if not more.isEmpty():
-        joined = saved(components(links.unionByName(more)))
-
-    named = joined.withColumnRenamed("node", "class").join(few.select("class", "id"), "class")
+    joined, tested = saved(components(links)), first
+    release(spark)
+    # Neighbours in other orders: they draw nearly all of a crowd into one component at the cost of a pair a member.
+    for turn in range(ROUNDS):
+        known = _open_lists(met, joined)
+        by_chance = Window.partitionBy("shingle").orderBy(F.xxhash64("class", F.lit(turn)))
+        pairs = known.withColumn("other", F.lag(F.struct("class", "n", "component")).over(by_chance)).where("component <> other.component")
+        pairs = pairs.where(100 * F.least("n", "other.n") >= percent * F.greatest("n", "other.n"))
+        pairs = pairs.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        ready = sets.select("class")
+        pairs = pairs.join(ready.withColumnRenamed("class", "a"), "a", "left_semi").join(ready.withColumnRenamed("class", "b"), "b", "left_semi")
+        pairs = saved(_filtered(pairs, classes, percent))
+        more = saved(_verified(pairs, sets, percent))
+        tested = saved(tested.unionByName(pairs.select("a", "b")))
+        if more.isEmpty():
+            break
+        joined = saved(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+        release(spark)
+    # All pairs that meet in a shingle and still lie in different components.
+    # A pair that meets in several lists is made in that of its first shared shingle: a row carries the class's first
+    # open shingles that stand before its own, and where two rows have one of those in common, an earlier list has them.
+    known = saved(_open_lists(met, joined))
+    release(spark)
+    begin = known.groupBy("class").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "shingle"))), 1, EARLY).alias("begin"))
+    early = F.transform(F.filter("begin", lambda x: x["place"] < F.col("place")), lambda x: x["shingle"])
+    known = saved(known.join(begin, "class").withColumn("early", early).drop("begin"))
+    other = known.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "place", "component", "early")))
+    # Of similar sets the first shared shingle leaves room for the overlap behind it.
+    bound = 1 + F.least(rest(F.col("n"), F.col("place")), rest(F.col("n2"), F.col("place2")))
+    fits = _enough(F.col("n"), F.col("n2"), bound, percent) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    pairs = known.join(other, "shingle").where((F.col("class") < F.col("class2")) & (F.col("component") != F.col("component2")) & fits & ~F.arrays_overlap("early", "early2"))
+    pairs = pairs.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = saved(_filtered(pairs, classes, percent))
+    release(spark)
+    if not pairs.isEmpty():
+        more = _verified(pairs, sets_of(pairs), percent)
+        joined = saved(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+
+    named = joined.withColumnRenamed("node", "class").join(classes.select("class", "id"), "class")
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(least, "component").select("class", "component_id")
-    firsts = able.groupBy("class", "n").agg(F.min("id").alias("class_id")).join(named, "class", "left")
+    firsts = classes.select("class", "n", F.col("id").alias("class_id")).join(named, "class", "left")
     firsts = saved(firsts.select("class", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id")))
     out = made.select("id", "n", "class").join(firsts, ["class", "n"], "left")
     own = lambda c: F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col(c)).otherwise(F.col("id")).alias(c)
