@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import saved, ship, table
+from tidewatch.llm.common import release, saved, ship, table
 
 SIZE, GRAM = 100, 32
 #: Window starts of grams in a string, and positions of a text that are worked on at once.
@@ -122,13 +122,14 @@ def _hasher():
     return run
 
 
-def _surroundings():
+def _surroundings(once: bool):
+    """The samples of each text that another text has, too, with the bytes round them; once: of equal ones in a batch the first."""
     names = ["same", "bucket", "id", "version", "place", "low", "high", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, version, v, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            out, seen = [], {}
+            for i, version, v, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(4)):
                 raw = _raw(v)
                 if len(raw) < SIZE:
                     continue
@@ -137,7 +138,11 @@ def _surroundings():
                 data = raw.tobytes()
                 for b, p, f, e in zip(bucket[some].tolist(), position[some].tolist(), first[some].tolist(), last[some].tolist()):
                     near = data[f : e + SIZE]
-                    out.append((xxhash.xxh3_64_intdigest(near, seed=p - f + 1) - (1 << 63), b, i, version, p, p - e, p - f, near))
+                    same = xxhash.xxh3_64_intdigest(near, seed=p - f + 1) - (1 << 63)
+                    if once and (i, version, p) >= seen.get(same, (i, version, p + 1)):
+                        continue
+                    seen[same] = (i, version, p)
+                    out.append((same, b, i, version, p, p - e, p - f, near if once else b""))
                 if len(out) > 20_000:
                     yield _record(out, names)
                     out = []
@@ -235,7 +240,7 @@ def _cutter():
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 spans, kept = [], []
-                for version, v, found in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()):
+                for version, v, found in zip(part.column(1).to_pylist(), part.column(2), part.column(4).to_pylist()):
                     raw = _raw(v)
                     cover = np.zeros(len(raw) + 1, np.int64)
                     if len(raw) >= SIZE:
@@ -250,11 +255,18 @@ def _cutter():
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
                     spans.append([{"start": s, "end": e} for s, e in edge.tolist()])
                     kept.append(raw[~hit].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(4), part.column(2), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "raw", "removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(2), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "raw", "removed", "kept"])
 
     return run
 
 
+def _wanted(rows: DataFrame) -> DataFrame:
+    """(id, wanted): the buckets of each text's samples that another text has, too."""
+    marks = rows.select("id", "version", "raw").mapInArrow(_hasher(), "bucket bigint, id bigint")
+    several = marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return marks.join(several, "bucket").groupBy("id").agg(F.collect_list("bucket").alias("wanted"))
+
+
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, raw, removed, kept) of every row: its bytes, the maximal runs removed of them, and the rest."""
     spark = docs.sparkSession
@@ -262,15 +274,18 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(id).cast("long").alias("doc_id"), raw.alias("raw"))
     rows = rows.select("id", F.xxhash64("raw").alias("version"), "raw", "doc_id")
-    marks = rows.select("id", "version", "raw").mapInArrow(_hasher(), "bucket bigint, id bigint")
-    several = marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    wanted = saved(marks.join(several, "bucket").groupBy("id").agg(F.collect_list("bucket").alias("wanted")))
-
-    near = rows.join(wanted, "id").select("id", "version", "raw", "wanted")
-    near = near.mapInArrow(_surroundings(), "same bigint, bucket bigint, id bigint, version bigint, place bigint, low int, high int, bytes binary")
+    wanted = saved(_wanted(rows))
+    release(spark)
+
+    # Both uses and the last join read the same shuffle of the texts.
+    texts = rows.join(wanted, "id").select("id", "version", "raw", "doc_id", "wanted")
+    columns = "same bigint, bucket bigint, id bigint, version bigint, place bigint, low int, high int, bytes binary"
+    near = texts.mapInArrow(_surroundings(False), columns)
+    # Equal surroundings are summed up within a batch before the shuffle, and behind it, where a bucket already lies together.
     least = F.min(F.struct("id", "version", "place")).alias("least")
-    once = near.groupBy("same").agg(least, *(F.first(c).alias(c) for c in ("bucket", "low", "high", "bytes")))
-    once = once.select("same", "bucket", "least.*", "low", "high", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    once = texts.mapInArrow(_surroundings(True), columns).repartition("bucket")
+    once = once.groupBy("bucket", "same").agg(least, *(F.first(c).alias(c) for c in ("low", "high", "bytes")))
+    once = once.select("same", "bucket", "least.*", "low", "high", "bytes").sortWithinPartitions("bucket")
     found = once.mapInArrow(_resolver(), "same bigint, own bigint, own_version bigint, own_place bigint, runs array<int>")
     found = near.select("same", "id", "version", "place", "low", "high").join(found, "same")
     first = (F.col("id") == F.col("own")) & (F.col("version") == F.col("own_version")) & (F.col("place") == F.col("own_place"))
@@ -280,7 +295,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     found = found.select("id", "version", "place", "runs", F.explode(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))).alias("k"))
     span = F.struct("version", (F.col("place") - F.get("runs", F.col("k") + 1) + 1).alias("start"), (F.col("place") - F.get("runs", F.col("k")) + SIZE).alias("end"))
     spans = found.groupBy("id").agg(F.collect_list(span).alias("found"))
-    done = rows.join(spans, "id", "left").select("id", "version", "raw", "found", "doc_id")
+    done = rows.join(spans, "id", "left").select("id", "version", "raw", "doc_id", "found")
     return done.mapInArrow(_cutter(), "doc_id bigint, raw binary, removed array<struct<start: bigint, end: bigint>>, kept binary")
 
 
