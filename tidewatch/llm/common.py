@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -43,6 +44,7 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing refers to any more; else they stay until the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works beside
 
 
 def partitions(spark: SparkSession) -> int:

@@ -283,15 +283,15 @@ def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     first = first.select(F.least("class", "class0").alias("a"), F.greatest("class", "class0").alias("b")).distinct()
     first = saved(_filtered(first, classes, percent))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """(class, set) of the classes in these pairs; a class may come more than once."""
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among these pairs, on the whole sets of the classes in them, which are made again and kept nowhere."""
         some = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         needed = sc.broadcast(_id_bits(classes.join(some, "class", "left_semi").select("id")))
         hashed = rows.where("id is not null").select("text", F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER).alias("h"))
-        return saved(hashed.mapInArrow(_setter(needed, size), "class bigint, set array<bigint>").dropDuplicates(["class"]))
+        sets = hashed.mapInArrow(_setter(needed, size), "class bigint, set array<bigint>")
+        return saved(_verified(pairs, sets, percent).distinct())
 
-    sets = sets_of(first)
-    links = saved(_verified(first, sets, percent))
+    links = verified(first)
     joined, tested = saved(components(links)), first
     release(spark)
     # Neighbours in other orders: they draw nearly all of a crowd into one component at the cost of a pair a member.
@@ -301,10 +301,8 @@ def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size
         pairs = known.withColumn("other", F.lag(F.struct("class", "n", "component")).over(by_chance)).where("component <> other.component")
         pairs = pairs.where(100 * F.least("n", "other.n") >= percent * F.greatest("n", "other.n"))
         pairs = pairs.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        ready = sets.select("class")
-        pairs = pairs.join(ready.withColumnRenamed("class", "a"), "a", "left_semi").join(ready.withColumnRenamed("class", "b"), "b", "left_semi")
         pairs = saved(_filtered(pairs, classes, percent))
-        more = saved(_verified(pairs, sets, percent))
+        more = verified(pairs)
         tested = saved(tested.unionByName(pairs.select("a", "b")))
         if more.isEmpty():
             break
@@ -327,7 +325,7 @@ def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     pairs = saved(_filtered(pairs, classes, percent))
     release(spark)
     if not pairs.isEmpty():
-        more = _verified(pairs, sets_of(pairs), percent)
+        more = verified(pairs)
         joined = saved(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     named = joined.withColumnRenamed("node", "class").join(classes.select("class", "id"), "class")
