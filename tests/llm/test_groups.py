@@ -229,3 +229,29 @@ def test_pipeline(spark, sf):
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == want and len(want) < table.count()
     assert decontaminate.SIZE == 13
+
+
+def test_scores_of_many_pairs(spark):
+    """Each n-gram is counted for itself, however many there are: 1.2 million distinct pairs, and one that stands out."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(200_000)]
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), 60_000)) for _ in range(20)] + ["left right"] * 40 + ["left wrong"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
+    got = {r.id: r.score for r in lm_score.scored(df, spark.range(20, 61)).collect()}
+    sides = []
+    for part in (texts, texts[20:]):
+        one, pair, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+        for t in part:
+            w = ["", *t.split()]
+            one.update(w[1:])
+            ctx.update(w[:-1])
+            pair.update(zip(w, w[1:]))
+        sides.append((one, pair, ctx, sum(one.values())))
+    assert len(got) == len(texts) and len(sides[0][1]) > 1 << 20
+    for i in (0, 7, 19, 20, 59, 60):
+        w, gain = ["", *texts[i].split()], 0.0
+        for h, x in zip(w, w[1:]):
+            for sign, (one, pair, ctx, n) in zip((1, -1), sides):
+                p = (one[x] + lm_score.UNIFORM) / (n + lm_score.UNIFORM * (1 << lm_score.BITS))
+                gain += sign * math.log((pair[h, x] + lm_score.WORD * p) / (ctx[h] + lm_score.WORD))
+        assert abs(got[i] - gain / (len(w) - 1)) < 1e-9
