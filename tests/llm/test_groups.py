@@ -255,3 +255,14 @@ def test_scores_of_many_pairs(spark):
                 p = (one[x] + lm_score.UNIFORM) / (n + lm_score.UNIFORM * (1 << lm_score.BITS))
                 gain += sign * math.log((pair[h, x] + lm_score.WORD * p) / (ctx[h] + lm_score.WORD))
         assert abs(got[i] - gain / (len(w) - 1)) < 1e-9
+
+
+def test_vectors_of_all_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n, count in ((16, 60), (24, 40), (5, 2)):
+        x = rng.standard_normal((count, n))
+        x[1] = x[0] * 3 + 0.01
+        rows += [(len(rows) + k, [float(c) for c in v]) for k, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == got[i + 1] == (1, i) for i in (0, 60, 100)) and len(got) == 102

@@ -12,9 +12,8 @@ Exact copies are one class with a multiplicity. Pivots are a bounded sample, MOS
 so that a crowd of near copies gets one; every vector is indexed. Recall is that of sharing two of the pivots: at a
 cosine of 0.95, over 0.99 for random directions in 16 to 64 dimensions; pairs below the threshold are never linked.
 
-Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing. Only
-vectors of the most frequent length (of equally frequent ones, the longest) are indexed; others link with their exact
-copies. Repeated rows count as copies of each other.
+Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing. Each
+length of vectors has an index of its own. Repeated rows count as copies of each other.
 """
 
 from __future__ import annotations
@@ -150,9 +149,9 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     rows = rows.withColumn("good", F.coalesce(F.col("id").isNotNull() & ~bad, F.lit(False)))
     classes = rows.where("good").groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("times"))
     classes = saved(classes.select("id", "embedding", "times"))
-    length = classes.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    none = spark.createDataFrame([], "id long, links long, component long")
-    found = none if length is None else _found(classes.where(F.size("embedding") == length.n), length["count"], threshold, block)
+    found = spark.createDataFrame([], "id long, links long, component long")
+    for n, count in classes.groupBy(F.size("embedding").alias("n")).count().where("count > 1").orderBy("n").collect():
+        found = found.unionByName(_found(classes.where(F.size("embedding") == n), count, threshold, block))
     classes = classes.join(found, "id", "left").select("embedding", F.lit(True).alias("good"), F.col("id").alias("first"), F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))
     out = rows.join(saved(classes), ["embedding", "good"], "left")
     out = out.select(F.col("id").alias("vec_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
