@@ -176,3 +176,15 @@ def test_urls(spark, sf):
     assert url_filter.judge(df.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.judge(df.where("url is null")).collect()} == {"allow"}
     assert url_filter.op9_url_filter(spark, sf).count() == 50
+
+
+def test_secrets_in_identifiers_and_in_part():
+    for text, value in (
+        ('DB_PASSWORD="p@ss!w0rD#91x"', "p@ss!w0rD#91x"), ("client_secret: ~Tz8!kk#2pLq", "~Tz8!kk#2pLq"), ("aws_secret_access_key = wJalr8XU!tnFE/M1K7", "wJalr8XU!tnFE/M1K7"),
+        ("userPass=~Tz8!kk#2pLq", "~Tz8!kk#2pLq"), ("password=Summer2024$Zx9!Qq", "Summer2024$Zx9!Qq"),
+    ):
+        assert ("guess", text.index(value), text.index(value) + len(value)) in secrets.spans_of(text), text
+        assert value[-6:] not in secrets.redacted(text)
+    for text in ("compass: north-eastern", "secretary: J.K.Rowlingsson", "author: J.K.Rowlingsson", "tokenizer: sentence-piece"):
+        assert secrets.spans_of(text) == [], text
+    assert secrets.spans_of("{password: abcdef91x}") == [("assign", 1, 20)]

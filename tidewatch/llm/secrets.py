@@ -2,7 +2,7 @@
 
 The programme finds the cheapest way to cut a value into dictionary words (plain or with look-alike digits), dates,
 repeats, keyboard or alphabet walks and brute-force spans; the logarithms of the guesses add up. A value that would take
-at least 10^GUESSES guesses, and that no pattern covers, is a secret of kind "guess". Time is linear in the text.
+at least 10^GUESSES guesses, and that patterns don't cover whole, is a secret of kind "guess". Time is linear in the text.
 
 Null and empty texts have no spans. Spans are (kind, start, end) in code points, the end exclusive, ordered by start and
 then by kind as in KINDS; each row is judged by itself, so repeated rows give repeated results.
@@ -25,7 +25,11 @@ KINDS = ("assign", "access", "hex", "guess")
 GUESSES = 8.0
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""(?ai)\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|credentials?|private_?key|auth)["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{6,})""")
+#: Keywords stand anywhere in an identifier, the short ones where a word of it begins; what follows must begin another word.
+CONTEXT = re.compile(
+    r"""(?ai)(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credential|private[_-]?key|(?:(?<![a-z])|(?=(?-i:[A-Z][a-z])))(?:pass|auth))"""
+    r"""s?(?:(?:[_-]|\d|(?-i:[A-Z]))[\w-]{0,64})?["']?[ \t]*[:=][ \t]*["']?([^\s"'<>,;]{6,})"""
+)
 #: A text in which none of these stands, whatever the case, has no credential context.
 HINTS = ("pass", "pwd", "secret", "token", "api", "credential", "private", "auth")
 #: Frequent words of passwords and placeholders, the most frequent first.
@@ -89,13 +93,19 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     low = text.lower()
     if any(h in low for h in HINTS):
         found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        taken = sorted((s, e) for _, s, e in found)
-        k, reach = 0, -1
+        taken: list[list[int]] = []
+        for s, e in sorted((s, e) for _, s, e in found):
+            if taken and s <= taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], e)
+            else:
+                taken.append([s, e])
+        k = 0
         for m in CONTEXT.finditer(text):
-            while k < len(taken) and taken[k][0] < m.end(1):
-                reach = max(reach, taken[k][1])
+            start, end = m.start(1), m.start(1) + len(m[1].rstrip(")]}."))
+            while k < len(taken) and taken[k][1] <= start:
                 k += 1
-            if reach <= m.start(1) and guess_cost(m[1]) >= GUESSES:
+            covered = k < len(taken) and taken[k][0] <= start and end <= taken[k][1]
+            if not covered and guess_cost(m[1]) >= GUESSES:
                 found.append(("guess", m.start(1), m.end(1)))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
