@@ -266,3 +266,8 @@ def test_vectors_of_all_lengths(spark):
         rows += [(len(rows) + k, [float(c) for c in v]) for k, v in enumerate(x)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert all(got[i] == got[i + 1] == (1, i) for i in (0, 60, 100)) and len(got) == 102
+
+
+def test_hidden_is_an_attribute_name():
+    page = "<article><p>a <a href='/x' title='A hidden gem'>b</a></p><p class=\"lg hidden md\">c</p><p hidden>d</p><p class='x'hidden>e</p><p hidden='until-found'>f</p><p title=hidden>g</p></article>"
+    assert " ".join(t for t, s in html_text.lines_of(page) if s == html_text.HELD) == "a b c g"

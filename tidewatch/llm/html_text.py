@@ -44,6 +44,7 @@ NAMES = frozenset(
 )
 TAG = re.compile(r"""<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)|/?[a-zA-Z][^>]*(?:>|$))""", re.S)
 LABEL = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)""", re.I)
 #: What makes an article element one of something else.
 SAYINGS = frozenset("comment comments reply replies ad advert advertisement sponsored promo related".split())
@@ -56,7 +57,7 @@ def _state(name: str, attributes: str, outer: int) -> int:
     """What an element says of its lines, given what the element round it says."""
     if outer == OTHER or name in MARKS:
         return OTHER
-    if HIDDEN.search(attributes):
+    if HIDDEN.search(VALUE.sub("= ", attributes)):
         return OTHER
     named = {w for m in LABEL.finditer(attributes) for w in CUT.split((m[1] or m[2] or m[3] or "").lower())} if "=" in attributes else ()
     if name in HOLDERS:
