@@ -271,3 +271,19 @@ def test_vectors_of_all_lengths(spark):
 def test_hidden_is_an_attribute_name():
     page = "<article><p>a <a href='/x' title='A hidden gem'>b</a></p><p class=\"lg hidden md\">c</p><p hidden>d</p><p class='x'hidden>e</p><p hidden='until-found'>f</p><p title=hidden>g</p></article>"
     assert " ".join(t for t, s in html_text.lines_of(page) if s == html_text.HELD) == "a b c g"
+
+
+def page_texts(spark, pages, partitions="4"):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_differencing_across_partitions(spark):
+    pages = [(k, f"http://h.org/{k:03d}", f"<p>Menu {k // 4 % 2}</p><p>Own {k // 2}</p><p>Foot</p>") for k in range(60)]
+    want = page_texts(spark, pages, "1")
+    assert all(f"Own {k // 2}" in t and "Foot" not in t for k, t in want.items())
+    assert page_texts(spark, pages, "7") == page_texts(spark, pages, "40") == want

@@ -2,7 +2,8 @@
 
 Pages are range-partitioned and sorted by host and URL path, so that a host of any size is spread over tasks, and each
 task holds three pages at a time. A page is paired with the neighbour whose path has the longer beginning in common with
-its own (the one before on a tie). Both are cut into text lines, a longest common subsequence aligns the lines, and
+its own (the one before on a tie); copies (pages of the same lines in a row) are passed over, and a first pass carries the
+pages at the borders of the partitions to their neighbours, so that the partitions make no difference. Both are cut into text lines, a longest common subsequence aligns the lines, and
 shared lines go. Two things temper this, as a differencing by itself would take a passage that two articles quote for a
 menu, and keep an advert that changes from page to page: lines in an element that says it holds the article (article,
 main) are kept though shared, and lines in elements that say they hold something else (MARKS, and class, id and role
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ascii_lower, partitions, ship, table
+from tidewatch.llm.common import ascii_lower, partitions, saved, ship, table
 
 #: Elements that hold no text, that aren't of the article, that are, and that end a line.
 SILENT = frozenset("script style template noscript svg math iframe object head title select textarea button audio video canvas map".split())
@@ -174,52 +176,109 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: s
     path = F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = pages.select(*own, host.alias("host"), path.alias("path"), F.col(html).alias("html"))
+    kinds = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
+    rows = rows.mapInArrow(_reader, f"{kinds}, host string, path string, lines binary")
     rows = rows.repartitionByRange(partitions(spark), "host", "path", *(f"k{i}" for i in range(len(keep))))
-    rows = rows.sortWithinPartitions("host", "path", *(f"k{i}" for i in range(len(keep))))
-    kinds = [rows.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep))]
-    texts = rows.mapInArrow(_differencer(len(keep)), ", ".join([*(f"k{i} {k}" for i, k in enumerate(kinds)), "text string"]))
+    # kept, so that both passes see the same partitions
+    rows = saved(rows.sortWithinPartitions("host", "path", *(f"k{i}" for i in range(len(keep)))))
+    edges = rows.select("host", "path", "lines").mapInArrow(_edges, "part int, place int, host string, first string, last string, lines binary")
+    sent = spark.sparkContext.broadcast(_beside(edges.toArrow().sort_by([("part", "ascending"), ("place", "ascending")]).to_pylist()))
+    texts = rows.mapInArrow(_differencer(len(keep), sent), f"{kinds}, text string")
     return texts.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("text").alias(out))
 
 
-def _differencer(n_keep: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        #: (host, path, lines) of the page before, the page at hand and the next; empty pages are passed over.
-        near: deque = deque([None, None])
-        held: deque = deque()
-        done: list[tuple[tuple, str]] = []
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """html read into lines, compressed, after their size; a line holds no line feed."""
+    for batch in batches:
+        found = []
+        for page in batch.column(batch.num_columns - 1):
+            body = "\n".join(f"{s}{t}" for t, s in lines_of(page.as_py())).encode()
+            found.append(len(body).to_bytes(8) + pa.compress(body, "zstd", asbytes=True) if body else b"")
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "lines"])
+
+
+def _lines(packed: bytes) -> list[tuple[str, int]]:
+    return [(x[1:], int(x[0])) for x in pa.decompress(packed[8:], int.from_bytes(packed[:8]), "zstd", asbytes=True).decode().split("\n")]
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first two and the last two runs of copies of a partition: host, first and last path, lines."""
+    first, last, count = [], deque(maxlen=2), 0
+    for batch in batches:
+        for row in zip(*batch.columns):
+            host, path, lines = (x.as_py() for x in row)
+            if not lines:
+                continue
+            if last and (last[-1][1], last[-1][4]) == (host, lines):
+                last[-1][3] = path
+                continue
+            last.append([count, host, path, path, lines])
+            if count < 2:
+                first.append(last[-1])
+            count += 1
+    found = [*first, *(x for x in last if x[0] >= 2)]
+    if found:
+        part = TaskContext.get().partitionId()
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((part, *x) for x in found)), kinds)], ["part", "place", "host", "first", "last", "lines"])
 
-        def choose(before, page, after) -> str:
-            sides = [x for x in (before, after) if x and x[0] == page[0]]
-            other = max(sides, key=lambda x: len(commonprefix([x[1], page[1]])), default=None)
-            return main_text(page[2], other and other[2])
 
-        def push(page) -> None:
-            if near[1] is not None:
-                done.append((held.popleft(), choose(near[0], near[1], page)))
-            near.append(page)
-            near.popleft()
+def _beside(edges: list[dict]) -> dict[int, list]:
+    """Of each partition: the nearest pages (host, path, lines) before and after it that are no copies of its first and last."""
+    same = lambda a, b: (a["host"], a["lines"]) == (b["host"], b["lines"])
+    out: dict[int, list] = {x["part"]: [None, None] for x in edges}
+    for side, name, order in ((0, "last", edges), (1, "first", edges[::-1])):
+        before, other = None, None
+        for x in order:
+            other = other if before is None or same(before, x) else before
+            if before is None or before["part"] != x["part"]:
+                out[x["part"]][side] = other and (other["host"], other[name], other["lines"])
+            before = x
+    return out
 
-        def batch_of(schema) -> pa.RecordBatch:
-            columns = [pa.array([row[i] for row, _ in done], schema.field(i).type) for i in range(n_keep)]
-            columns.append(pa.array([t for _, t in done], pa.string()))
-            done.clear()
-            return pa.RecordBatch.from_arrays(columns, [*(f"k{i}" for i in range(n_keep)), "text"])
+
+def _differencer(n_keep: int, beside):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = lambda x: x and (x[0], x[1], _lines(x[2]))
+        before, after = map(edge, beside.value.get(TaskContext.get().partitionId(), (None, None)))
+        #: The run of copies at hand: host, packed lines, lines; and its pages' columns and paths. Empty pages are passed over.
+        now, held = None, []
+        done: list[tuple[tuple, str]] = []
+
+        def end_run(after) -> None:
+            sides = [x for x in (before, after) if x and x[0] == now[0]]
+            texts: dict[int, str] = {}
+            for keys, path in held:
+                near = max(range(len(sides)), key=lambda k: len(commonprefix([sides[k][1], path])), default=-1)
+                if near not in texts:
+                    texts[near] = main_text(now[2], sides[near][2] if sides else None)
+                done.append((keys, texts[near]))
 
         schema = None
         for batch in batches:
             schema = batch.schema
             for row in zip(*(batch.column(i) for i in range(batch.num_columns))):
-                row = tuple(x.as_py() for x in row)
-                lines = lines_of(row[-1])
-                if lines:
-                    held.append(row[:n_keep])
-                    push((row[-3], row[-2], lines))
+                *keys, host, path, packed = (x.as_py() for x in row)
+                if not packed:
+                    done.append((keys, ""))
+                elif now and now[:2] == (host, packed):
+                    held.append((keys, path))
                 else:
-                    done.append((row[:n_keep], ""))
-            yield batch_of(schema)
-        if schema is not None:
-            push(None)
-            yield batch_of(schema)
+                    lines = _lines(packed)
+                    if now:
+                        end_run((host, path, lines))
+                        before = (now[0], held[-1][1], now[2])
+                    now, held = (host, packed, lines), [(keys, path)]
+            yield batch_of(done, schema)
+        if now:
+            end_run(after)
+            yield batch_of(done, schema)
+
+    def batch_of(done, schema) -> pa.RecordBatch:
+        columns = [pa.array([row[i] for row, _ in done], schema.field(i).type) for i in range(n_keep)]
+        columns.append(pa.array([t for _, t in done], pa.string()))
+        done.clear()
+        return pa.RecordBatch.from_arrays(columns, [*(f"k{i}" for i in range(n_keep)), "text"])
 
     return run
 
