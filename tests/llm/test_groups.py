@@ -282,6 +282,12 @@ def page_texts(spark, pages, partitions="4"):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_differencing_beside_an_article_and_copies(spark):
+    page = "<p>Menu</p><div>Body %d</div><article>Teaser</article><p>Foot</p>"
+    pages = [(k, f"http://h.org/a/{k // 3}", page % (k // 3)) for k in range(9)]
+    assert page_texts(spark, pages) == {k: f"Body {k // 3} Teaser" for k in range(9)}
+
+
 def test_differencing_across_partitions(spark):
     pages = [(k, f"http://h.org/{k:03d}", f"<p>Menu {k // 4 % 2}</p><p>Own {k // 2}</p><p>Foot</p>") for k in range(60)]
     want = page_texts(spark, pages, "1")

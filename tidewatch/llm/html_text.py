@@ -164,8 +164,7 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 def main_text(lines: list[tuple[str, int]], near: list[tuple[str, int]] | None) -> str:
     """The page's text without what it shares with the near page, and without what says it isn't of the article."""
     shared = shared_lines([t for t, _ in lines], [t for t, _ in near]) if near else set()
-    held = any(s == HELD for _, s in lines)
-    return " ".join(t for k, (t, s) in enumerate(lines) if s == HELD or s == PLAIN and not held and k not in shared)
+    return " ".join(t for k, (t, s) in enumerate(lines) if s == HELD or s == PLAIN and k not in shared)
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
