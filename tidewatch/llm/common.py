@@ -1,17 +1,22 @@
-"""What the corpus operators share: table reading, reliable checkpoints and connected components."""
+"""What the corpus operators share: table reading, written intermediate tables, workers' memory and connected components."""
 
 from __future__ import annotations
 
-import gc
+import ctypes
+import functools
 import tempfile
-import time
+import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[1]
+#: Removes an execution's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,19 +37,96 @@ def ship(spark: SparkSession) -> None:
     sc._tidewatch_shipped = True
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; a folder of our own only where none is named."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints. Only a session on this one machine gets a folder of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewatch-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+            where = tempfile.mkdtemp(prefix="tidewatch-")
+        sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, which keeps partitions and their order as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to any more; else they stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # the cleaner works beside
+def saved(df: DataFrame) -> DataFrame:
+    """df written to a compressed table in the shared folder, and its shuffles let go of; dropped() deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # planned anew, as a plan carries the setting of its time
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that saved() wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        spark, path = t.sparkSession, t._written
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """The one large thing that a worker keeps from task to task; work that keeps another, or none, lets go of it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
+def give_back() -> None:
+    """Return to the system what the allocators of this process hold on to; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """A worker's function over an iterator that ends with its memory given back, and begins without what others kept."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        if not keeps:
+            forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def packed(body: bytes) -> bytes:
+    """Compressed, after its length."""
+    return len(body).to_bytes(8) + pa.compress(body, "zstd", asbytes=True) if body else b""
+
+
+def unpacked(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8]), "zstd", asbytes=True) if body else b""
 
 
 def partitions(spark: SparkSession) -> int:
@@ -56,27 +138,30 @@ def ascii_lower(c: Column) -> Column:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge.
+    """(node, component): the smallest node reachable, for every node that has an edge; a saved table.
 
     Alternates large-star and small-star steps until the edge set no longer changes; each ends as a star round its
-    smallest node. Only grouped minima and joins are used, so that a hub is pre-aggregated or split, never gathered;
-    every step is checkpointed. Self-loops, nulls and repeated or reversed edges make no difference.
+    smallest node. Minima are written before they are joined, so that the joins are plain ones whose hubs Spark splits.
+    Self-loops, nulls and repeated or reversed edges make no difference.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         # A state is known by the number, sum and hash of its edges; two equal states in turn are the end.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        dropped(e, low)
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        dropped(large, low)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = saved(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+    dropped(e)
+    return out

@@ -10,8 +10,13 @@ difference cover, here by content, as the two strings need not be aligned. A buc
 hash; buckets of samples that stand in one text only are dropped before any text is moved. Within a bucket the samples
 are ranked by the sorted bytes that follow them, and by those that stand before them, with the lengths that neighbours
 have in common; a string then needs no comparison of its own: two are equal if their samples' ranks agree over the bytes
-after the sample and over those before. Memory is bounded by a bucket's different surroundings; equal ones are summed up
-to their first place before they are shuffled. Repeats within one text are found in the text.
+after the sample and over those before. Why that is exact: a string's sample, and so its offset, follow from the string's
+bytes alone, so equal strings lie in one bucket at one offset; there they are equal if and only if the offset's bytes
+before the sample and the rest after it are, which the common lengths of neighbours in sorted order say.
+
+Equal surroundings (by 128-bit hashes) are one row, that of their first place. A bucket of over HOT different surroundings
+(the edges of a passage that very many texts hold) isn't sorted in one task: each of its strings is grouped by its own
+128-bit hash, with partial minima. So memory is bounded by HOT. Repeats within one text are found in the text.
 
 Null and empty texts have no bytes. Rows that repeat an id and its text are one document; of different texts under one id
 the order is that of their hashes. A null id counts as the smallest. Texts are taken whole, as UTF-8 bytes; what is kept
@@ -28,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import release, saved, ship, table
+from tidewatch.llm.common import dropped, lean, saved, ship, table
 
 SIZE, GRAM = 100, 32
 #: Window starts of grams in a string, and positions of a text that are worked on at once.
 STARTS = SIZE - GRAM + 1
 SEGMENT = 1 << 20
+#: Different surroundings of a bucket that are sorted in one task; surroundings that a task remembers.
+HOT, SEEN = 4096, 1 << 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -83,9 +90,11 @@ def own_repeats(hashes: np.ndarray, position: np.ndarray, first: np.ndarray, las
     whole = np.zeros(len(starts), np.uint64)
     for k in (0, GRAM, 2 * GRAM, SIZE - GRAM):
         whole = _mix(whole * _A + hashes[starts + k])
-    _, once = np.unique(whole, return_index=True)
-    again = np.ones(len(starts), bool)
-    again[once] = False
+    _, once, back = np.unique(whole, return_index=True, return_inverse=True)
+    at = starts[once[back]]
+    again = starts != at
+    for k in (0, GRAM, 2 * GRAM, SIZE - GRAM):  # each of the grams that make up the string, not only their mixture
+        again &= hashes[starts + k] == hashes[at + k]
     return starts[again]
 
 
@@ -109,27 +118,34 @@ def _raw(value: pa.Scalar) -> np.ndarray:
 
 
 def _hasher():
+    """(bucket, doc) of each text's samples."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(2)):
+            docs, marks = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for d, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = _raw(v)
                 if len(raw) >= SIZE:
                     marks.append(np.unique(_active(raw)[0]))
-                    ids.append(np.full(len(marks[-1]), i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks)), pa.array(np.concatenate(ids))], ["bucket", "id"])
+                    docs.append(np.full(len(marks[-1]), d))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks)), pa.array(np.concatenate(docs))], ["bucket", "doc"])
+
+    return lean(run)
 
-    return run
 
+def _surroundings():
+    """The samples of each text that another text has, too; the bytes round them where none before of a task's equal ones is at an earlier place."""
+    names = ["bucket", "same", "id", "version", "place", "low", "high", "bytes"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
-def _surroundings(once: bool):
-    """The samples of each text that another text has, too, with the bytes round them; once: of equal ones in a batch the first."""
-    names = ["same", "bucket", "id", "version", "place", "low", "high", "bytes"]
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, seen = [], {}
         for batch in batches:
-            out, seen = [], {}
-            for i, version, v, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(4)):
+            for i, version, v, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = _raw(v)
                 if len(raw) < SIZE:
                     continue
@@ -138,23 +154,35 @@ def _surroundings(once: bool):
                 data = raw.tobytes()
                 for b, p, f, e in zip(bucket[some].tolist(), position[some].tolist(), first[some].tolist(), last[some].tolist()):
                     near = data[f : e + SIZE]
-                    same = xxhash.xxh3_64_intdigest(near, seed=p - f + 1) - (1 << 63)
-                    if once and (i, version, p) >= seen.get(same, (i, version, p + 1)):
-                        continue
-                    seen[same] = (i, version, p)
-                    out.append((same, b, i, version, p, p - e, p - f, near if once else b""))
+                    same = xxhash.xxh3_128_digest(near, seed=p - f + 1)
+                    earlier = same in seen and seen[same] <= (i, version, p)
+                    out.append((b, same, i, version, p, p - e, p - f, None if earlier else near))
+                    if not earlier:
+                        seen[same] = (i, version, p)
+                if len(seen) > SEEN:
+                    seen.clear()
                 if len(out) > 20_000:
-                    yield _record(out, names)
+                    yield record(out)
                     out = []
-            yield _record(out, names)
+        yield record(out)
 
-    return run
+    return lean(run)
 
 
-def _record(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(names)
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+def _windows():
+    """(bucket, same, offset, window) of each string of these surroundings: a hash of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                out = []
+                for b, same, low, high, near in zip(*(c.to_pylist() for c in part.columns)):
+                    out += [(b, same, o, xxhash.xxh3_128_digest(near[high - o : high - o + SIZE])) for o in range(low, high + 1)]
+                columns = zip(*out) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["bucket", "same", "offset", "window"])
+
+    return lean(run)
 
 
 def _common(order: np.ndarray, group: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -213,7 +241,8 @@ def _resolver():
             edges = np.diff(np.pad(repeat, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             for row, at in zip(*np.nonzero(edges)):
                 runs[several[row]].append(int(at))
-        yield pa.RecordBatch.from_arrays([*(part.column(k).combine_chunks() for k in ("same", "id", "version", "place")), pa.array(runs, pa.list_(pa.int32()))], ["same", "own", "own_version", "own_place", "runs"])
+        columns = [part.column(k).combine_chunks() for k in ("bucket", "same", "id", "version", "place")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(runs, pa.list_(pa.int32()))], ["bucket", "same", "own", "own_version", "own_place", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -229,7 +258,7 @@ def _resolver():
         if held is not None and held.num_rows:
             yield from groups(held)
 
-    return run
+    return lean(run)
 
 
 def _cutter():
@@ -240,7 +269,7 @@ def _cutter():
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 spans, kept = [], []
-                for version, v, found in zip(part.column(1).to_pylist(), part.column(2), part.column(4).to_pylist()):
+                for v, found in zip(part.column(0), part.column(2).to_pylist()):
                     raw = _raw(v)
                     cover = np.zeros(len(raw) + 1, np.int64)
                     if len(raw) >= SIZE:
@@ -248,54 +277,82 @@ def _cutter():
                         cover[again] += 1
                         cover[again + SIZE] -= 1
                     for x in found or ():
-                        if x["version"] == version:
-                            cover[x["start"]] += 1
-                            cover[x["end"]] -= 1
+                        cover[x["start"]] += 1
+                        cover[x["end"]] -= 1
                     hit = np.cumsum(cover[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
                     spans.append([{"start": s, "end": e} for s, e in edge.tolist()])
                     kept.append(raw[~hit].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(3), part.column(2), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "raw", "removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "raw", "removed", "kept"])
 
-    return run
+    return lean(run)
 
 
 def _wanted(rows: DataFrame) -> DataFrame:
-    """(id, wanted): the buckets of each text's samples that another text has, too."""
-    marks = rows.select("id", "version", "raw").mapInArrow(_hasher(), "bucket bigint, id bigint")
+    """(doc, wanted): the buckets of each text's samples that another text has, too."""
+    marks = saved(rows.select("doc", "raw").mapInArrow(_hasher(), "bucket bigint, doc bigint"))
     several = marks.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return marks.join(several, "bucket").groupBy("id").agg(F.collect_list("bucket").alias("wanted"))
+    wanted = saved(marks.join(several, "bucket").groupBy("doc").agg(F.collect_list("bucket").alias("wanted")))
+    dropped(marks)
+    return wanted
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _sorted(near: DataFrame) -> DataFrame:
+    """(bucket, same, own, own_version, own_place, runs): where surroundings stand first, and which of their strings other ones have before."""
+    # Equal surroundings are summed up behind the shuffle, where a bucket already lies together.
+    once = near.where("bytes is not null").repartition("bucket").groupBy("bucket", "same")
+    once = once.agg(F.min(F.struct("id", "version", "place")).alias("least"), *(F.first(c).alias(c) for c in ("low", "high", "bytes")))
+    once = once.select("same", "bucket", "least.*", "low", "high", "bytes").sortWithinPartitions("bucket")
+    return once.mapInArrow(_resolver(), "bucket bigint, same binary, own bigint, own_version bigint, own_place bigint, runs array<int>")
+
+
+def _grouped(near: DataFrame) -> DataFrame:
+    """The same, for buckets of very many surroundings: their strings, each grouped by its hash."""
+    once = near.where("bytes is not null").groupBy("bucket", "same")
+    once = once.agg(F.min(F.struct("id", "version", "place")).alias("least"), *(F.first(c).alias(c) for c in ("low", "high", "bytes")))
+    once = saved(once)
+    strings = once.select("bucket", "same", "low", "high", "bytes").mapInArrow(_windows(), "bucket bigint, same binary, offset int, window binary")
+    strings = saved(strings.join(once.select("bucket", "same", "least"), ["bucket", "same"]))
+    firsts = saved(strings.groupBy("window").agg(F.min("least").alias("first")))
+    again = strings.join(firsts, "window").where("least <> first").groupBy("bucket", "same").agg(F.array_sort(F.collect_list("offset")).alias("at"))
+    found = once.select("bucket", "same", "least").join(again, ["bucket", "same"], "left")
+    at = F.coalesce("at", F.array().cast("array<int>"))
+    begins, ends = F.filter(at, lambda o: ~F.array_contains(at, o - 1)), F.filter(at, lambda o: ~F.array_contains(at, o + 1))
+    runs = F.array_sort(F.concat(begins, F.transform(ends, lambda o: o + 1)))
+    own = [F.col(f"least.{c}").alias(a) for c, a in (("id", "own"), ("version", "own_version"), ("place", "own_place"))]
+    found = saved(found.select("bucket", "same", *own, runs.alias("runs")))
+    dropped(once, strings, firsts)
+    return found
+
+
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc_id, raw, removed, kept) of every row: its bytes, the maximal runs removed of them, and the rest."""
     spark = docs.sparkSession
     ship(spark)
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(id).cast("long").alias("doc_id"), raw.alias("raw"))
-    rows = rows.select("id", F.xxhash64("raw").alias("version"), "raw", "doc_id")
-    wanted = saved(_wanted(rows))
-    release(spark)
-
-    # Both uses and the last join read the same shuffle of the texts.
-    texts = rows.join(wanted, "id").select("id", "version", "raw", "doc_id", "wanted")
-    columns = "same bigint, bucket bigint, id bigint, version bigint, place bigint, low int, high int, bytes binary"
-    near = texts.mapInArrow(_surroundings(False), columns)
-    # Equal surroundings are summed up within a batch before the shuffle, and behind it, where a bucket already lies together.
-    least = F.min(F.struct("id", "version", "place")).alias("least")
-    once = texts.mapInArrow(_surroundings(True), columns).repartition("bucket")
-    once = once.groupBy("bucket", "same").agg(least, *(F.first(c).alias(c) for c in ("low", "high", "bytes")))
-    once = once.select("same", "bucket", "least.*", "low", "high", "bytes").sortWithinPartitions("bucket")
-    found = once.mapInArrow(_resolver(), "same bigint, own bigint, own_version bigint, own_place bigint, runs array<int>")
-    found = near.select("same", "id", "version", "place", "low", "high").join(found, "same")
+    rows = rows.withColumn("version", F.xxhash64("raw")).withColumn("doc", F.xxhash64("id", "version"))
+    wanted = _wanted(rows)
+    texts = rows.select("doc", "id", "version", "raw").join(wanted, "doc").select("id", "version", "raw", "wanted")
+    near = saved(texts.mapInArrow(_surroundings(), "bucket bigint, same binary, id bigint, version bigint, place bigint, low int, high int, bytes binary"))
+    dropped(wanted)
+    sizes = near.where("bytes is not null").select("bucket", "same").distinct().groupBy("bucket").count()
+    large = saved(sizes.where(F.col("count") > hot).select("bucket"))
+    if large.isEmpty():
+        parts = [saved(_sorted(near))]
+    else:
+        parts = [saved(_sorted(near.join(large, "bucket", "left_anti"))), _grouped(near.join(large, "bucket", "left_semi"))]
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    found = near.select("bucket", "same", "id", "version", "place", "low", "high").join(found, ["bucket", "same"])
     first = (F.col("id") == F.col("own")) & (F.col("version") == F.col("own_version")) & (F.col("place") == F.col("own_place"))
     runs = F.when(first, F.col("runs")).otherwise(F.array(F.col("low"), F.col("high") + 1))
     # runs: offsets at which repeats begin and end, by turns; the string at an offset starts so much before the sample
     found = found.withColumn("runs", runs).where(F.size("runs") > 0)
     found = found.select("id", "version", "place", "runs", F.explode(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))).alias("k"))
-    span = F.struct("version", (F.col("place") - F.get("runs", F.col("k") + 1) + 1).alias("start"), (F.col("place") - F.get("runs", F.col("k")) + SIZE).alias("end"))
-    spans = found.groupBy("id").agg(F.collect_list(span).alias("found"))
-    done = rows.join(spans, "id", "left").select("id", "version", "raw", "doc_id", "found")
+    span = F.struct((F.col("place") - F.get("runs", F.col("k") + 1) + 1).alias("start"), (F.col("place") - F.get("runs", F.col("k")) + SIZE).alias("end"))
+    spans = saved(found.groupBy("id", "version").agg(F.collect_list(span).alias("found")))
+    dropped(near, large, *parts)
+    done = rows.join(spans, ["id", "version"], "left").select("raw", "doc_id", "found")
     return done.mapInArrow(_cutter(), "doc_id bigint, raw binary, removed array<struct<start: bigint, end: bigint>>, kept binary")
 
 
