@@ -2,7 +2,8 @@
 
 Two word-bigram models, of the target texts and of all texts as the background, are counted over the whole corpus with
 the same words and the same smoothing. The score of a text is the mean over its words of -log p_target + log p_background:
-below zero where it reads more like the target.
+below zero where it reads more like the target. A text is scored by models that leave it out: its own counts are taken
+off those of the background and, if it is of the target, of the target. Copies of it stay in.
 
 Words and pairs are counted by their 64-bit hashes, each for itself, in a table that is spread over the cluster and grows
 with the corpus; a word's count as a context is its count less that of the texts it ends. Texts are packed into slices of
@@ -25,7 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import release, saved, ship, table
+from tidewatch.llm.common import packed as squeezed
+from tidewatch.llm.common import lean, saved, ship, table, unpacked
 
 BITS = 20
 #: Pseudo-counts of the uniform distribution in the word model, and of the word model in the pair model.
@@ -78,8 +80,8 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([mixed(word + np.uint64(1)), mixed(pair)]), starts, sizes
 
 
-def gains(counts: np.ndarray, starts: np.ndarray, totals: list[tuple[int, int]], bits: int) -> np.ndarray:
-    """What each word adds to its text's score, by counts (background, target, and both of texts that end; words and pairs; word) and totals (words, texts)."""
+def gains(counts: np.ndarray, starts: np.ndarray, totals: list[tuple], bits: int) -> np.ndarray:
+    """What each word adds to its text's score, by counts (background, target, and both of texts that end; words and pairs; word) and totals (words, texts; numbers, or one a word)."""
     gain = np.zeros(len(starts))
     for side, sign in ((0, 1), (1, -1)):
         words, pairs = counts[side]
@@ -89,6 +91,24 @@ def gains(counts: np.ndarray, starts: np.ndarray, totals: list[tuple[int, int]],
     return gain
 
 
+def left_out(counts: np.ndarray, place: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, totals: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple]]:
+    """counts and totals of each word of a slice without its own text. place: of its n-grams among the slice's; wanted: whether a text is of the target."""
+    counts = counts.copy()
+    owner, last = np.repeat(np.arange(len(sizes)), sizes), np.roll(starts, -1)
+    target = wanted[owner]
+    most = int(place.max(initial=0)) + 1
+    for kind in (0, 1):
+        _, back, times = np.unique(owner * most + place[kind], return_inverse=True, return_counts=True)
+        own = times[back]
+        counts[0, kind] -= own
+        counts[1, kind] -= np.where(target, own, 0)
+    ends = place[0][last][np.cumsum(sizes > 0)[owner] - 1] == place[0] if len(owner) else np.empty(0, bool)
+    counts[2, 0] -= ends
+    counts[3, 0] -= ends & target
+    words = sizes[owner]
+    return counts, [(totals[0][0] - words, totals[0][1] - 1), (totals[1][0] - np.where(target, words, 0), totals[1][1] - target)]
+
+
 def means(gain: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out, some = np.zeros(len(sizes)), sizes > 0
     if some.any():
@@ -123,7 +143,7 @@ def _numbers(planes: bytes) -> np.ndarray:
 
 
 def _counts(planes: bytes) -> np.ndarray:
-    return _numbers(planes).reshape(4, -1).astype(np.int64)
+    return _numbers(unpacked(planes)).reshape(4, -1).astype(np.int64)
 
 
 def _packer(kind: pa.DataType):
@@ -140,7 +160,7 @@ def _packer(kind: pa.DataType):
             kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], ["slice", "ids", "words", "sizes", "body", "bytes"])
 
-    return run
+    return lean(run)
 
 
 def _unpacked(sizes: bytes, body: bytes) -> list[bytes]:
@@ -156,14 +176,17 @@ def _poster(bits: int):
             found, starts, words = ngrams(_unpacked(row["sizes"], row["body"]))
             grams, place = np.unique(found, return_inverse=True)
             place = place.reshape(found.shape)
-            wanted = np.zeros(len(words), bool)
+            hit = np.zeros(len(words), bool)
             for places in hits.column("hits").to_pylist():
-                wanted[places] = True
-            wanted, last = np.repeat(wanted, words), np.roll(starts, -1)
+                hit[places] = True
+            wanted, last = np.repeat(hit, words), np.roll(starts, -1)
             counts = np.stack([np.bincount(x.ravel(), minlength=len(grams)) for x in (place, place[:, wanted], place[0, last], place[0, last & wanted])])
             cuts = np.searchsorted(grams, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             low = grams & np.uint64((1 << 64 - bits) - 1)
-            out += [(b, row["slice"], _planes(np.diff(low[x:y], prepend=np.uint64(0))), _planes(counts[:, x:y])) for b, (x, y) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(grams)])) if x < y]
+            # what of the slice is of the target comes back to it beside the answers
+            places = np.flatnonzero(hit)
+            out.append((-1 - row["slice"] % (1 << bits), row["slice"], _planes(np.append(places, len(words))), b""))
+            out += [(b, row["slice"], _planes(np.diff(low[x:y], prepend=np.uint64(0))), squeezed(_planes(counts[:, x:y]))) for b, (x, y) in enumerate(zip(cuts.tolist(), [*cuts[1:].tolist(), len(grams)])) if x < y]
         columns = zip(*out) if out else [[]] * 4
         return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "slice", "grams", "counts"])
 
@@ -182,12 +205,16 @@ def _added(posts: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 
 
 def _answers(posts: pa.Table) -> pa.Table:
+    if posts.num_rows and posts.column("bucket")[0].as_py() < 0:
+        return pa.table({"slice": posts.column("slice"), "bucket": posts.column("bucket"), "counts": posts.column("grams")})
     _, total, places = _added(posts)
-    return pa.table({"slice": posts.column("slice"), "bucket": posts.column("bucket"), "counts": pa.array([_planes(total[:, p]) for p in places], pa.binary())})
+    return pa.table({"slice": posts.column("slice"), "bucket": posts.column("bucket"), "counts": pa.array([squeezed(_planes(total[:, p])) for p in places], pa.binary())})
 
 
 def _adder(bits: int):
     def run(posts: pa.Table) -> pa.Table:
+        if posts.column("bucket")[0].as_py() < 0:
+            return pa.table({k: pa.array([], pa.int64()) for k in ("gram", "c0", "c1", "c2", "c3")})
         grams, total, _ = _added(posts)
         grams = grams | np.uint64(posts.column("bucket")[0].as_py()) << np.uint64(64 - bits)
         return pa.table({"gram": grams.view(np.int64), **{f"c{k}": c for k, c in enumerate(total)}})
@@ -200,12 +227,17 @@ def _scorer(totals: list[tuple[int, int]], bits: int, kind: pa.DataType):
         row = packed.to_pylist()[0]
         found, starts, words = ngrams(_unpacked(row["sizes"], row["body"]))
         grams, place = np.unique(found, return_inverse=True)
-        order = np.argsort(answers.column("bucket").to_numpy()) if answers.num_rows else []
-        column = answers.column("counts")
+        bucket, column = answers.column("bucket").to_numpy(), answers.column("counts")
+        order = np.argsort(bucket)
+        hit = np.zeros(len(words) + 1, bool)
+        hit[_numbers(column[int(order[0])].as_py()).astype(np.int64)] = True
+        order = order[bucket[order] >= 0]
         counts = np.concatenate([np.empty((4, 0), np.int64), *(_counts(column[int(k)].as_py()) for k in order)], axis=1)
         if counts.shape[1] != len(grams):
             raise ValueError(f"a slice of {len(grams)} n-grams got {counts.shape[1]} answers")
-        scores = means(gains(counts[:, place.reshape(found.shape)], starts, totals, bits), words)
+        place = place.reshape(found.shape)
+        own = left_out(counts[:, place], place, starts, words, hit[:-1], totals)
+        scores = means(gains(own[0], starts, own[1], bits), words)
         return pa.table({"id": pa.array(row["ids"], kind), "score": pa.array(scores, pa.float64())})
 
     return run
@@ -237,12 +269,11 @@ def _kind(texts: DataFrame) -> pa.DataType:
 
 
 def scored(texts: DataFrame, good: DataFrame, bits: int = BITS) -> DataFrame:
-    """(id, score) of rows (id: bigint or string, text) under models counted from the same rows; the target texts are those whose id is in good (id), each once.
+    """(id, score) of rows (id: bigint or string, text) under models counted from the other rows; the target texts are those whose id is in good (id), each once.
 
     The score is each text's cross-entropy under the target model less that under the background model, in nats a word.
     """
     packed, posts, totals, _ = _posted(texts, good)
-    release(texts.sparkSession)
     answers = posts.groupBy("bucket").applyInArrow(_answers, "slice bigint, bucket int, counts binary")
     kind = texts.schema["id"].dataType.simpleString()
     return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_scorer(totals, bits, _kind(texts)), f"id {kind}, score double")
@@ -280,6 +311,7 @@ def score(spark: SparkSession, text: Column, model: Model) -> Column:
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = _parts((t.as_py() or "",) for t in texts)
