@@ -198,22 +198,25 @@ def test_repeats(spark, sf, tmp_path):
     for at in range(40):
         texts.append(some(20) + long[at * 10 : at * 10 + 90 + int(rng.integers(0, 60))] + some(25))
     path = str(tmp_path)
-    docs(spark, texts).drop("class", "set").write.parquet(f"{path}/documents.parquet")
-    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.op10_substring_dedup(spark, path).collect()} == brute_repeats(enumerate(texts))
+    docs(spark, texts).write.parquet(f"{path}/documents.parquet")
+    want = brute_repeats(enumerate(texts))
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.op10_substring_dedup(spark, path).collect()} == want
+    for hot in (0, 3):  # buckets beyond so many surroundings are grouped string by string
+        cut = substring_dedup.remove_repeats(docs(spark, texts), hot=hot).collect()
+        assert {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in cut} == {i: x[3] for i, x in want.items()}
     same = spark.createDataFrame([(None, long), (1, long), (1, long), (1, mid), (0, mid)], "doc_id long, text string")
-    left = sorted((r.doc_id or -1, len(r.kept)) for r in substring_dedup.remove_repeats(same).collect())
-    assert left == [(-1, len(mid.encode())), (-1, len(long.encode())), (1, 0), (1, 0), (1, 0)] or [n for _, n in left].count(0) == 3
+    left = sorted((-1 if r.doc_id is None else r.doc_id, len(r.kept)) for r in substring_dedup.remove_repeats(same).collect())
+    assert left == [(-1, len(long.encode())), (0, len(mid.encode())), (1, 0), (1, 0), (1, 0)]
     assert substring_dedup.remove_repeats(same.limit(0)).count() == 0
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.op10_substring_dedup(spark, sf).collect()} == brute_repeats(rows)
 
 
 def test_pipeline(spark, sf):
-    import corpus_pipeline
     from test_scans import brute_contamination
     from tokenizers import Tokenizer
 
-    from tidewatch.llm import bpe
+    from tidewatch.llm import bpe, pipeline
 
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = quality.fit(table, spark.read.parquet(f"{sf}/labels.parquet"))
@@ -226,11 +229,37 @@ def test_pipeline(spark, sf):
     rows = [r for r in rows if not brute_contamination(r.text, items)[-1]]
     lib = Tokenizer.from_file(bpe.default_path())
     want = {r.doc_id: lib.encode(secrets.redacted(r.text) or "", add_special_tokens=False).ids for r in rows}
-    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    got = {r.doc_id: list(r.ids) for r in pipeline.run(spark, sf).collect()}
     assert got == want and len(want) < table.count()
     assert decontaminate.SIZE == 13
 
 
+def brute_scores(texts, target, some=None):
+    """Each text under bigram models of the other texts, counted anew for it."""
+    cut = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or "")) for t in texts]
+    sides = []
+    for of in (range(len(texts)), sorted(target)):
+        one, pair, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+        for i in of:
+            w = ["", *cut[i]]
+            one.update(w[1:])
+            ctx.update(w[:-1])
+            pair.update(zip(w, w[1:]))
+        sides.append((one, pair, ctx, sum(one.values()), sum(bool(cut[i]) for i in of), set(of)))
+    out = {}
+    for i in range(len(texts)) if some is None else some:
+        w, gain = ["", *cut[i]], 0.0
+        own, owns, ctxs = collections.Counter(w[1:]), collections.Counter(zip(w, w[1:])), collections.Counter(w[1:-1])
+        for h, x in zip(w, w[1:]):
+            for sign, (one, pair, ctx, n, texts_, of) in zip((1, -1), sides):
+                k = i in of
+                p = (one[x] - k * own[x] + lm_score.UNIFORM) / (n - k * (len(w) - 1) + lm_score.UNIFORM * (1 << lm_score.BITS))
+                context = texts_ - k if h == "" else ctx[h] - k * ctxs[h]
+                gain += sign * math.log((pair[h, x] - k * owns[h, x] + lm_score.WORD * p) / (context + lm_score.WORD))
+        out[i] = gain / max(1, len(w) - 1)
+    return out
+
+
 def test_scores_of_many_pairs(spark):
     """Each n-gram is counted for itself, however many there are: 1.2 million distinct pairs, and one that stands out."""
     rng = np.random.default_rng(6)
@@ -238,23 +267,23 @@ def test_scores_of_many_pairs(spark):
     texts = [" ".join(words[k] for k in rng.integers(0, len(words), 60_000)) for _ in range(20)] + ["left right"] * 40 + ["left wrong"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4)
     got = {r.id: r.score for r in lm_score.scored(df, spark.range(20, 61)).collect()}
-    sides = []
-    for part in (texts, texts[20:]):
-        one, pair, ctx = collections.Counter(), collections.Counter(), collections.Counter()
-        for t in part:
-            w = ["", *t.split()]
-            one.update(w[1:])
-            ctx.update(w[:-1])
-            pair.update(zip(w, w[1:]))
-        sides.append((one, pair, ctx, sum(one.values())))
-    assert len(got) == len(texts) and len(sides[0][1]) > 1 << 20
-    for i in (0, 7, 19, 20, 59, 60):
-        w, gain = ["", *texts[i].split()], 0.0
-        for h, x in zip(w, w[1:]):
-            for sign, (one, pair, ctx, n) in zip((1, -1), sides):
-                p = (one[x] + lm_score.UNIFORM) / (n + lm_score.UNIFORM * (1 << lm_score.BITS))
-                gain += sign * math.log((pair[h, x] + lm_score.WORD * p) / (ctx[h] + lm_score.WORD))
-        assert abs(got[i] - gain / (len(w) - 1)) < 1e-9
+    want = brute_scores(texts, range(20, 61), (0, 7, 19, 20, 59, 60))
+    assert len(got) == len(texts) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_scores_leave_the_text_out(spark, tmp_path):
+    texts = [None, "", "...", "One one two", "a b c", "a b c", "a b a b a", "x", "x y", "é x", "b " * 300, "only here words"]
+    df = docs(spark, texts)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(3, 1), (5, 1), (6, 1), (7, 0), (8, None), (9, 1), (9, 1), (77, 1), (None, 1)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r.ce_diff for r in lm_score.op6_lm_score(spark, str(tmp_path)).collect()}
+    want = brute_scores(texts, {3, 5, 6, 9})
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    none = {r.id: r.score for r in lm_score.scored(df.selectExpr("doc_id as id", "text"), spark.range(0)).collect()}
+    want = brute_scores(texts, set())
+    assert all(abs(none[i] - want[i]) < 1e-9 for i in want)
+    assert lm_score.scored(df.selectExpr("doc_id as id", "text").limit(0), spark.range(1)).count() == 0
 
 
 def test_vectors_of_all_lengths(spark):
@@ -293,3 +322,31 @@ def test_differencing_across_partitions(spark):
     want = page_texts(spark, pages, "1")
     assert all(f"Own {k // 2}" in t and "Foot" not in t for k, t in want.items())
     assert page_texts(spark, pages, "7") == page_texts(spark, pages, "40") == want
+
+
+def test_pipeline_edges(spark, sf, tmp_path):
+    """Nulls, empty and long texts, repeated rows, ids with several texts and extra columns, stage by stage."""
+    from tidewatch.llm import pipeline
+
+    path, fine = str(tmp_path), "The river bent south here, and the old mill stood by it for years. Nobody came. "
+    words = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n)) + "."
+    texts = [(0, "A " + words(0)), (1, "A " + words(0)), (1, "B " + words(1)), (1, "B " + words(1)), (2, None), (2, None), (3, ""), (3, ""), (None, "C " + words(2)), (None, "C " + words(2)), (4, fine * 3000), (5, "D " + words(3) + " password=abcdef!SuperSecret#99xyz"), (6, "D " + words(3))]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, class string, ids string, first string, found int, _id int"
+    rows = [(i, t, "en", "s", len(t or ""), "x", "y", "z", 1, 2) for i, t in texts]
+    docs_ = spark.createDataFrame(rows, kind).repartition(3)
+    left = pipeline.distinct(spark, docs_, sf)
+    assert left.columns == list(pipeline.COLUMNS)
+    of = lambda df: sorted(((-1 if r.doc_id is None else r.doc_id, "-" if r.text is None else r.text[:1] or "e") for r in df.collect()))
+    assert of(left) == [(-1, "C"), (-1, "C"), (0, "A"), (1, "B"), (2, "-"), (2, "-"), (3, "e"), (3, "e"), (4, "T"), (5, "D")]
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs_, sf)
+        assert name == "tokens" or out.columns == list(pipeline.COLUMNS)
+        assert name in ("quality", "near_duplicates") or out.count() == len(rows)
+        assert stage(spark, docs_.limit(0), sf).count() == 0
+    clear = {r.doc_id: r.text for r in pipeline.redacted(spark, docs_, sf).collect()}
+    assert "Secret" not in clear[5] and "99xyz" not in clear[5] and clear[2] is None and clear[3] == "" and clear[4] == fine * 3000
+    docs_.write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
+    # without labels all score alike, and stay
+    assert pipeline.run(spark, path).count() == 10

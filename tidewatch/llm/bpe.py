@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ship, table
+from tidewatch.llm.common import kept, lean, ship, table
 
-#: Bounds on what a worker remembers, in entries.
-UNITS, PAIRS, LONGEST_UNIT = 250_000, 1_000_000, 48
+#: Bounds on what a worker remembers, in entries: of what stands between spaces, of pieces of it, and of pairs of tokens;
+#: together about 70 MB beside the tokenizer's 45 MB.
+UNITS, WORDS, PAIRS, LONGEST_UNIT = 150_000, 20_000, 250_000, 48
 #: Fixed value: the split into pieces that byte-level vocabularies of this kind are made for.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -109,8 +110,16 @@ class Tokenizer:
     def word(self, piece: str) -> bytes:
         """The ids of one piece, as packed 32-bit numbers."""
         known = self.words.get(piece) or self.older.get(piece)
-        if known is not None:
-            return known
+        if known is None:
+            known = self.cheapest(piece)
+            if len(piece) <= LONGEST_UNIT:
+                if len(self.words) >= WORDS:
+                    self.words, self.older = {}, self.words
+                self.words[piece] = known
+        return known
+
+    def cheapest(self, piece: str) -> bytes:
+        """The ids that the programme finds."""
         if piece.isascii() and piece.isprintable():
             s = piece.replace(" ", self.letters[32])
         else:
@@ -134,18 +143,14 @@ class Tokenizer:
             ids.append(token := last[k])
             k -= sizes[token]
         ids.reverse()
-        packed = struct.pack(f"={len(ids)}i", *ids)
-        if len(piece) <= LONGEST_UNIT:
-            if len(self.words) >= UNITS:
-                self.words, self.older = {}, self.words
-            self.words[piece] = packed
-        return packed
+        return struct.pack(f"={len(ids)}i", *ids)
 
     def unit(self, text: str) -> bytes:
+        """What stands between spaces is kept whole, so its one piece needn't be."""
         if text[1:].isalpha() and text[0] == " ":
-            return self.word(text)
+            return self.cheapest(text)
         if text[1:-1].isalpha() and text[0] == " " and text[-1] in ".,":
-            return self.word(text[:-1]) + self.word(text[-1])
+            return (self.units.get(text[1:-1]) or self.cheapest(text[:-1])) + self.word(text[-1])
         return b"".join(map(self.word, self.pieces(text)))
 
     def plain(self, text: str) -> bytes:
@@ -188,14 +193,62 @@ class _Units(dict):
         return packed
 
 
-_loaded: dict[int, Tokenizer] = {}
+def _tokenizer(spec) -> Tokenizer:
+    return kept(("bpe", hash(spec.value)), lambda: Tokenizer(spec.value))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))
+
+
+def _spec(spark: SparkSession, path: str):
+    """The tokenizer's file is read on the driver and broadcast: it is of a fixed size, whatever the corpus."""
+    ship(spark)
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def encode(spark: SparkSession, text: Column, path: str) -> Column:
+    """array<int>: the ids of each text."""
+    spec = _spec(spark, path)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = _tokenizer(spec)
+        for texts in batches:
+            yield _lists([t.encode(x.as_py()) for x in texts])
+
+    return F.arrow_udf(lean(run, keeps=True), "array<int>")(text)
+
+
+def decode(self, ids: Iterable[int] | None) -> str:
+        if ids is None:
+            return ""
+        try:
+            raw = b"".join(map(self.bytes.__getitem__, ids))
+        except KeyError:
+            raw = b"".join(self.bytes.get(i, b"") for i in ids)
+        return raw.decode("utf-8", "replace")
+
+
+class _Units(dict):
+    """By what follows a space up to the next one: the ids of both. What was last used before it was full is kept aside."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.unit, self.older = tokenizer.unit, {}
+
+    def __missing__(self, rest: str) -> bytes:
+        packed = self.older.get(rest) or self.unit(" " + rest)
+        if len(rest) <= LONGEST_UNIT:
+            if len(self) >= UNITS:
+                self.older = dict(self)
+                self.clear()
+            self[rest] = packed
+        return packed
 
 
 def _tokenizer(spec) -> Tokenizer:
-    if (key := hash(spec.value)) not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Tokenizer(spec.value)
-    return _loaded[key]
+    return kept(("bpe", hash(spec.value)), lambda: Tokenizer(spec.value))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -226,26 +279,25 @@ def decode(spark: SparkSession, ids: Column, path: str) -> Column:
     """string: the text of each list of ids."""
     spec = _spec(spark, path)
 
-    @F.arrow_udf("string")
-    def run(lists: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _tokenizer(spec)
-        return pa.array([t.decode(None if x is None else [i for i in x if i is not None]) for x in lists.to_pylist()], pa.string())
+        for lists in batches:
+            yield pa.array([t.decode(None if x is None else [i for i in x if i is not None]) for x in lists.to_pylist()], pa.string())
 
-    return run(ids)
+    return F.arrow_udf(lean(run, keeps=True), "string")(ids)
 
 
 def round_trip(spark: SparkSession, text: Column, path: str) -> Column:
     """struct<ids: array<int>, decoded: string> in one pass: the ids of each text, and what those ids decode to."""
     spec = _spec(spark, path)
 
-    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _tokenizer(spec)
         for texts in batches:
             ids = [t.encode(x.as_py()) for x in texts]
             yield pa.StructArray.from_arrays([_lists(ids), pa.array([t.decode(x.tolist()) for x in ids], pa.string())], ["ids", "decoded"])
 
-    return run(text)
+    return F.arrow_udf(lean(run, keeps=True), "struct<ids: array<int>, decoded: string>")(text)
 
 
 def default_path() -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import saved, ship, table
+from tidewatch.llm.common import dropped, lean, saved, ship, table
 
 SIZE, SHINGLE = 13, 4
 #: Bytes of item text in a block, and of document text that is worked on at once.
@@ -166,7 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     ship(spark)
     sc = spark.sparkContext
     none = F.lit(None).cast(FOUND)
-    done = docs.withColumn(out, none)
+    done, last = docs.withColumn(out, none), None
     blocks = 0
     for part in _blocks(items, item, item_text, block):
         index = Index(part, size)
@@ -175,9 +175,13 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
         counted = docs.select(text).mapInArrow(_counter(sent), "n int, k bigint, times bigint").groupBy("n", "k").agg(F.sum("times").alias("times"))
         for row in counted.toLocalIterator():  # at most one row a shingle of the block
             counts[row.n][row.k] = row.times
+        sent.destroy()
         index.choose(counts)
         if blocks:
-            done = saved(done)
+            done, before = saved(done), last
+            if before is not None:
+                dropped(before)
+            last = done
         blocks += 1
         done = done.withColumn(out, _finder(sc.broadcast(index))(F.col(text), F.col(out)))
     return done if blocks else done.withColumn(out, _finder(sc.broadcast(Index([], size)))(F.col(text), F.col(out)))
@@ -195,11 +199,12 @@ def _counter(sent):
             k = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k), pa.array(c[k])], ["n", "k", "times"])
 
-    return run
+    return lean(run)
 
 
 def _finder(sent):
     @F.arrow_udf(FOUND)
+    @lean
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         index = sent.value
         kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))])

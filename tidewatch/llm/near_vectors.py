@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import components, saved, ship, table
+from tidewatch.llm.common import components, lean, saved, ship, table
 
 THRESHOLD, NEAREST, LEAST_PIVOTS, MOST_PIVOTS, PER_PIVOT, ALIKE = 0.95, 8, 64, 4096, 16, 0.7
 #: Members of a list that are compared at once.
@@ -76,7 +76,7 @@ def _poster(pivots):
                 lists = [pa.ListArray.from_arrays(pa.array(ends * x.shape[1]), pa.array(x.astype(np.int32).ravel())) for x in (own, keys)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["id", "pivots", "keys"])
 
-    return run
+    return lean(run)
 
 
 def _links(key: int, side: np.ndarray, ids: np.ndarray, times: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, threshold: float):
@@ -117,7 +117,7 @@ def _lister(threshold: float):
         if held is not None and held.num_rows:
             yield from _groups(held, np.array([held.num_rows]), threshold)
 
-    return run
+    return lean(run)
 
 
 def _groups(part: pa.Table, cut: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:

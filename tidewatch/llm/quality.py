@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ship, table
+from tidewatch.llm.common import lean, ship, table
 
 #: Labelled rows learnt from: those with the smallest hashes of their ids.
 SAMPLE, DIMENSIONS, NEIGHBOURS, POWER, BLOCK, PRIOR, THRESHOLD = 3000, 48, 25, 8, 512, 0.5, 0.3
@@ -127,8 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _terms(text: Column) -> Column:
     @F.arrow_udf("binary")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([terms_of(t.as_py()).tobytes() for t in texts], pa.binary())
+    @lean
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([terms_of(t.as_py()).tobytes() for t in texts], pa.binary())
 
     return run(text)
 
@@ -139,6 +141,7 @@ def score(spark: SparkSession, text: Column, model: Model) -> Column:
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = [np.empty(0)]

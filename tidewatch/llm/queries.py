@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from tidewatch.llm import bpe, decontaminate, html_text, jaccard_join, lm_score, near_vectors, quality, secrets, substring_dedup, url_filter
+from tidewatch.llm import bpe, decontaminate, html_text, jaccard_join, lm_score, near_vectors, pipeline, quality, secrets, substring_dedup, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,6 +15,6 @@ QUERIES = {
     "op8_near_vectors": near_vectors.op8_near_vectors,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLES: dict[str, str] = {"op9_url_filter": url_filter.oracle()}

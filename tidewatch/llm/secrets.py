@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ship, table
+from tidewatch.llm.common import lean, ship, table
 
 KINDS = ("assign", "access", "hex", "guess")
 #: The logarithm of the guesses from which a value counts as a secret.
@@ -116,6 +116,7 @@ def find_secrets(spark: SparkSession, text: Column) -> Column:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     @F.arrow_udf("array<struct<kind: string, start: bigint, end: bigint>>")
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t.as_py())] for t in texts], kind)
@@ -128,6 +129,7 @@ def redact(spark: SparkSession, text: Column, mark: str = "[SECRET]") -> Column:
     ship(spark)
 
     @F.arrow_udf("string")
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([redacted(t.as_py(), mark) for t in texts], pa.string())
