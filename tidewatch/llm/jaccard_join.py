@@ -5,14 +5,17 @@
    of each, the prefix. Equal sets are one class with one prefix, so copies are never paired.
 3. Classes meet in the shingles of their prefixes. First only neighbours in each shingle's list, ordered by size, are
    candidates; what they link is joined to components. So are, in a few rounds, neighbours in other orders that lie in
-   different components; and last all pairs that meet and still lie in different ones. So a crowd of near copies gives about as many candidates as members, and yet no link between components is lost.
+   different components; and last all pairs that meet and still lie in different ones. So a crowd of near copies gives
+   about as many candidates as members, and yet no link between components is lost.
 4. Candidates pass the length filter, the positional filter (the places of a shared shingle bound the overlap) and the
    suffix filter (the sets' numbers of shingles in each range of hashes bound it too), and are verified once each on the
-   whole sets.
+   whole sets. For that the compressed texts of the classes in candidates are brought together, which are smaller than
+   their sets, and their sets are made again there.
 
-Shingles and classes are told apart by 64-bit hashes. Words are what stands between ASCII white space, A-Z lower-cased. A
-text of fewer words than a shingle is one shingle; null, empty and wordless texts have none and link with nothing, nor do
-rows without an id. Rows that repeat an id are copies if their sets are equal, else like any two rows.
+Shingles are told apart by 64-bit hashes, classes by 128-bit ones; lists and candidates name a class by the first half of
+its hash, so that two classes that share it only add a candidate. Words are what stands between ASCII white space, A-Z
+lower-cased. A text of fewer words than a shingle is one shingle; null, empty and wordless texts have none and link with
+nothing, nor do rows without an id. Rows that repeat an id are copies if their sets are equal, else like any two rows.
 """
 
 from __future__ import annotations
@@ -26,27 +29,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import components, release, saved, ship, table
+from tidewatch.llm.common import components, dropped, lean, packed, saved, ship, table, unpacked
 
 WORDS, PERCENT = 5, 75
-#: The table of counts has 2^BITS slots, 1 MB: enough to tell shingles that many texts share from others at any size.
-BITS = 17
-#: Ranges of hashes of the suffix filter; bits of the filter of ids whose sets are needed, 4 MB.
-RANGES, FULL, FILTER = 128, 32767, 25
+#: The table of counts has 2^BITS slots of a byte, 4 MB, in steps of an eighth of a power of two: it tells shingles that
+#: many texts share from others. It only orders shingles; a coarser order gives more candidates and the same links. Slots are
+#: added up in chunks of CHUNK.
+BITS, CHUNK = 22, 1 << 14
+#: Ranges of hashes of the suffix filter, and what a full one shows.
+RANGES, FULL = 128, 127
+#: Bits of the filter of ids whose texts are needed, 4 MB. Where that many ids are needed that it lets all through, a round
+#: of verification shuffles every text once, compressed.
+FILTER = 25
 #: How often neighbours are compared in another order before all pairs that are left.
 ROUNDS = 2
 #: How many of a class's first open shingles a row carries.
 EARLY = 8
 #: Characters of text that are worked on at once.
 SLICE = 1 << 20
+#: Classes that a task remembers, so as to post each prefix once.
+SEEN = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 _LETTER = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -55,13 +62,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _base(n: int) -> list[np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        b = 0x9E3779B97F4A7C15
-        for k, x in enumerate((b, pow(b, -1, 1 << 64))):
-            p = np.full(max(n, 2 << 20), x, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return [p[:n] for p in _powers]
+    out = []
+    for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)):
+        p = np.full(n, x, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +127,8 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield first, part
 
 
-def class_of(hashes: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+def class_of(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def prefixes(hashes: np.ndarray, owners: np.ndarray, n: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -134,60 +140,98 @@ def prefixes(hashes: np.ndarray, owners: np.ndarray, n: np.ndarray, counts: np.n
     return hashes[order][place < np.repeat(length, n)], length
 
 
-def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
-
-
 def _counter(bits: int, size: int):
+    """(chunk, counts) of the shingles of a task's texts, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, texts in _slices(batch.column(0)):
-                total += np.bincount((shingle_sets(texts, size)[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], ["slot", "n"])
+                slots, times = np.unique(shingle_sets(texts, size)[0] >> np.uint64(64 - bits), return_counts=True)
+                total[slots.astype(np.int64)] += times.astype(np.uint32)
+        if total.any():
+            chunks = [packed(x.tobytes()) for x in total.reshape(-1, min(CHUNK, len(total)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks))), pa.array(chunks, pa.binary())], ["chunk", "counts"])
 
-    return run
+    return lean(run)
 
 
-def _classes(n: np.ndarray, hashes: np.ndarray) -> pa.Array:
+def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, ranks): the sums of a partition's chunks in steps of an eighth of a power of two."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(unpacked(counts.as_py()), np.uint32)
+            total[chunk] = total[chunk] + own if chunk in total else own.astype(np.uint64)
+    ranks = [np.minimum(8 * np.log2(x + 1.0), 255).astype(np.uint8).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(ranks, pa.binary())], ["chunk", "ranks"])
+
+
+def shingle_ranks(texts: DataFrame, size: int = WORDS, bits: int = BITS) -> np.ndarray:
+    """How frequent the shingles of each slot are, over all rows of the one column."""
+    chunks = texts.mapInArrow(_counter(bits, size), "chunk bigint, counts binary").repartition("chunk").mapInArrow(lean(_adder), "chunk bigint, ranks binary")
+    out = np.zeros((-(-(1 << bits) // CHUNK), min(CHUNK, 1 << bits)), np.uint8)
+    for chunk, ranks in zip(*(c.to_pylist() for c in chunks.toArrow().columns)):
+        out[chunk] = np.frombuffer(ranks, np.uint8)
+    return out.ravel()
+
+
+def _classes(n: np.ndarray, hashes: np.ndarray) -> list[bytes]:
     ends = np.cumsum(n)
-    return pa.array([class_of(hashes[e - k : e]) for k, e in zip(n.tolist(), ends.tolist())], pa.int64())
+    return [class_of(hashes[e - k : e]) for k, e in zip(n.tolist(), ends.tolist())]
+
+
+def _key(name: str) -> Column:
+    """The first half of a class as a number."""
+    return F.conv(F.hex(F.substring(name, 1, 8)), 16, -10).cast("long")
 
 
 def _describer(size: int):
-    """(id, n, class, ranges) of each row."""
+    """(id, version, n, class, ranges) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in _slices(batch.column(1)):
+            for first, texts in _slices(batch.column(2)):
                 hashes, owners = shingle_sets(texts, size)
                 n = np.bincount(owners, minlength=len(texts))
                 ranges = np.bincount(owners * RANGES + (hashes >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=len(texts) * RANGES)
-                ranges = _lists(np.minimum(ranges, FULL).astype(np.int16), np.full(len(texts), RANGES))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n.astype(np.int32)), _classes(n, hashes), ranges], ["id", "n", "class", "ranges"])
+                ranges = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * RANGES), pa.array(np.minimum(ranges, FULL).astype(np.int8)))
+                columns = [*(c.slice(first, len(texts)) for c in batch.columns[:2]), pa.array(n.astype(np.int32)), pa.array(_classes(n, hashes), pa.binary()), ranges]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "version", "n", "class", "ranges"])
 
-    return run
+    return lean(run)
 
 
 def _prefixer(counts, size: int, percent: int):
-    """(class, n, prefix) of each text that has shingles."""
+    """(shingle, key, at) of each prefix; of the same class in a task only once. at: the set's size, and the place in 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for _, texts in _slices(batch.column(0)):
                 hashes, owners = shingle_sets(texts, size)
                 n = np.bincount(owners, minlength=len(texts))
                 prefix, length = prefixes(hashes, owners, n, counts.value, percent)
-                out = pa.RecordBatch.from_arrays([_classes(n, hashes), pa.array(n.astype(np.int32)), _lists(prefix.view(np.int64), length)], ["class", "n", "prefix"])
-                yield out.filter(pa.array(n > 0))
-
-    return run
-
-
-def _setter(wanted, size: int):
-    """(class, set) of the rows that the filter of ids lets through."""
+                classes = _classes(n, hashes)
+                new = np.zeros(len(texts), bool)
+                for k, c in enumerate(classes):
+                    if n[k] and c not in seen:
+                        new[k] = True
+                        seen.add(c)
+                if len(seen) > SEEN:
+                    seen.clear()
+                keys = np.frombuffer(b"".join(classes), ">i8")[::2].astype(np.int64)
+                of = np.repeat(np.arange(len(texts)), length)
+                place = np.arange(len(prefix)) - np.repeat(np.cumsum(length) - length, length)
+                some = new[of]
+                columns = [prefix.view(np.int64)[some], keys[of][some], ((n[of] << 32) + place)[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "key", "at"])
+
+    return lean(run)
+
+
+def _texter(wanted, size: int):
+    """(key, text) of the rows that the filter of ids lets through, their texts compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -197,31 +241,66 @@ def _setter(wanted, size: int):
             for _, part in _slices(texts):
                 hashes, owners = shingle_sets(part, size)
                 n = np.bincount(owners, minlength=len(part))
-                yield pa.RecordBatch.from_arrays([_classes(n, hashes), _lists(hashes.view(np.int64), n)], ["class", "set"])
+                keys = [int.from_bytes(c[:8], signed=True) for c in _classes(n, hashes)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([packed((t or "").encode()) for t in part], pa.binary())], ["key", "text"])
+
+    return lean(run)
+
+
+def _verifier(size: int, percent: int):
+    """(a, b): the classes of the pairs of compressed texts whose sets are alike."""
+
+    def linked(part: list[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+        where: dict[bytes, int] = {}
+        for pair in part:
+            for x in pair:
+                where.setdefault(x, len(where))
+        hashes, owners = shingle_sets([unpacked(x).decode() for x in where], size)
+        n = np.bincount(owners, minlength=len(where))
+        ends = np.cumsum(n)
+        classes = _classes(n, hashes)
+        for a, b in part:
+            i, j = where[a], where[b]
+            same = len(np.intersect1d(hashes[ends[i] - n[i] : ends[i]], hashes[ends[j] - n[j] : ends[j]], assume_unique=True))
+            if classes[i] != classes[j] and _enough(int(n[i]), int(n[j]), same, percent):
+                yield min(classes[i], classes[j]), max(classes[i], classes[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, weight, out = [], 0, []
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                part.append((a, b))
+                weight += int.from_bytes(a[:8]) + int.from_bytes(b[:8])
+                if weight >= SLICE:
+                    out += linked(part)
+                    part, weight = [], 0
+            if part:
+                out += linked(part)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (zip(*out) if out else ((), ()))], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _met(rows: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(shingle, class, n, place, class0, n0, place0): classes in the lists of their prefixes' shingles, where another of a
-    fitting size stands, with the one before in order of size if that fits. A class's prefix comes once, however many copies."""
-    prefix = rows.select("text").mapInArrow(_prefixer(counts, size, percent), "class bigint, n int, prefix array<bigint>")
-    prefix = prefix.groupBy("class", "n").agg(F.first("prefix").alias("prefix"))
-    list_ = Window.partitionBy("shingle").orderBy("at", "class")
-    met = prefix.select("class", "n", F.posexplode("prefix").alias("place", "shingle"))
-    met = met.select("shingle", "class", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("at"))
-    met = met.withColumns({"before": F.lag(F.struct("class", "at")).over(list_), "after": F.lead("at").over(list_)})
-    met = met.select("shingle", "class", *_unpacked("at", "n", "place"), F.col("before.class").alias("class0"), *_unpacked("before.at", "n0", "place0"), F.shiftright("after", 32).alias("n1"))
+    """(shingle, key, n, place, key0, n0, place0): classes in the lists of their prefixes' shingles, where another of a
+    fitting size stands, with the one before in order of size if that fits. A class comes once in a list, however many copies."""
+    # by size and then by class alone, so that a crowd's members have the same neighbours in most of the lists they share
+    list_ = Window.partitionBy("shingle").orderBy(F.shiftright("at", 32), "key")
+    met = rows.select("text").mapInArrow(_prefixer(counts, size, percent), "shingle bigint, key bigint, at bigint")
+    met = met.withColumn("before", F.lag(F.struct("at", "key")).over(list_)).where("before is null or before <> struct(at, key)")
+    met = met.withColumns({"before": F.lag(F.struct("key", "at")).over(list_), "after": F.lead("at").over(list_)})
+    met = met.select("shingle", "key", *_unpacked("at", "n", "place"), F.col("before.key").alias("key0"), *_unpacked("before.at", "n0", "place0"), F.shiftright("after", 32).alias("n1"))
     follows, leads = 100 * F.col("n0") >= percent * F.col("n"), 100 * F.col("n") >= percent * F.col("n1")
     met = met.where(F.coalesce(follows, F.lit(False)) | F.coalesce(leads, F.lit(False))).drop("n1")
-    return met.withColumns({c: F.when(follows, F.col(c)) for c in ("class0", "n0", "place0")})
+    return met.withColumns({c: F.when(follows, F.col(c)) for c in ("key0", "n0", "place0")})
 
 
 def _open_lists(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """(shingle, class, n, place, component) of the lists whose classes lie in several components."""
-    known = met.select("shingle", "class", "n", "place").join(joined.withColumnRenamed("node", "class"), "class", "left")
+    """(shingle, key, n, place, component) of the lists whose classes lie in several components."""
+    of = joined.select(_key("node").alias("key"), _key("component").alias("component"))
+    known = met.select("shingle", "key", "n", "place").join(of, "key", "left")
     whole = Window.partitionBy("shingle")
-    known = known.withColumn("component", F.coalesce("component", "class"))
+    known = known.withColumn("component", F.coalesce("component", "key"))
     known = known.withColumns({"low": F.min("component").over(whole), "high": F.max("component").over(whole)})
     return known.where("low < high").drop("low", "high")
 
@@ -247,96 +326,127 @@ def _enough(n1, n2, overlap, percent: int):
 
 def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the suffix filter."""
-    side = classes.select("class", "n", "ranges")
     for s in ("a", "b"):
-        pairs = pairs.join(side.select(F.col("class").alias(s), F.col("n").alias(f"n{s}"), F.col("ranges").alias(f"r{s}")), s)
+        pairs = pairs.join(classes.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("ranges").alias(f"r{s}")), s)
     # a full range may hold any number
     least = F.zip_with("ra", "rb", lambda x, y: F.when((x == FULL) & (y == FULL), 1 << 30).otherwise(F.least(x, y)).cast("long"))
     most = F.aggregate(least, F.lit(0).cast("long"), lambda x, y: x + y)
-    return pairs.where(_enough(F.col("na"), F.col("nb"), most, percent)).select("a", "b")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    for s in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("class").alias(s), F.col("set").alias(f"s{s}")), s)
-    return pairs.where(_enough(F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb")), percent)).select("a", "b")
+    return pairs.where(_enough(F.col("na"), F.col("nb"), most, percent)).select("a", "b").distinct()
 
 
 def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of every row: its set's size, the smallest id it is linked with and that of its copies."""
+    """(doc_id, version, n_shingles, component_id, class_id, first) of every row.
+
+    That is: a hash of its text, its set's size, the smallest id it is linked with and that of its copies, and whether it is
+    the first of its component, by id and version. Rows that link with nothing are.
+    """
     spark = docs.sparkSession
     ship(spark)
     sc = spark.sparkContext
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    counts = np.zeros(1 << BITS, np.int64)
-    counted = rows.select("text").mapInArrow(_counter(BITS, size), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    made = saved(rows.select("id", "text").mapInArrow(_describer(size), "id bigint, n int, class bigint, ranges array<smallint>"))
+    described = rows.select("id", F.xxhash64("text").alias("version"), "text").mapInArrow(_describer(size), "id bigint, version bigint, n int, class binary, ranges array<tinyint>")
+    made = saved(described)
     able = made.where("n > 0 and id is not null")
-    classes = saved(able.groupBy("class", "n").agg(F.min("id").alias("id"), F.first("ranges").alias("ranges")))
+    classes = able.groupBy("class", "n", "ranges").agg(F.min("id").alias("id"), F.min(F.struct("id", "version")).alias("least"))
+    classes = saved(classes.withColumn("key", _key("class")))
 
-    met = saved(_met(rows.where("id is not null"), sc.broadcast(counts), size, percent))
-    release(spark)
+    sent = sc.broadcast(shingle_ranks(rows.select("text"), size))
+    met = saved(_met(rows.where("id is not null"), sent, size, percent))
+    sent.destroy()
     rest = lambda n, p: n - p - 1
     bound = F.least("place", "place0") + 1 + F.least(rest(F.col("n"), F.col("place")), rest(F.col("n0"), F.col("place0")))
-    first = met.where(F.col("class0").isNotNull() & _enough(F.col("n"), F.col("n0"), bound, percent))
-    first = first.select(F.least("class", "class0").alias("a"), F.greatest("class", "class0").alias("b")).distinct()
-    first = saved(_filtered(first, classes, percent))
+    first = met.where(F.col("key0").isNotNull() & _enough(F.col("n"), F.col("n0"), bound, percent))
+    first = first.select(F.least("key", "key0").alias("a"), F.greatest("key", "key0").alias("b")).distinct()
+    tested = [saved(_filtered(first, classes, percent))]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among these pairs, on the whole sets of the classes in them, which are made again and kept nowhere."""
-        some = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        needed = sc.broadcast(_id_bits(classes.join(some, "class", "left_semi").select("id")))
+        """The links among these pairs, as pairs of classes."""
+        some = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        needed = sc.broadcast(_id_bits(classes.join(some, "key", "left_semi").select("id")))
         hashed = rows.where("id is not null").select("text", F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER).alias("h"))
-        sets = hashed.mapInArrow(_setter(needed, size), "class bigint, set array<bigint>")
-        return saved(_verified(pairs, sets, percent).distinct())
-
-    links = verified(first)
-    joined, tested = saved(components(links)), first
-    release(spark)
+        texts = hashed.mapInArrow(_texter(needed, size), "key bigint, text binary")
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        links = saved(both.select("ta", "tb").mapInArrow(_verifier(size, percent), "a binary, b binary").distinct())
+        needed.destroy()
+        return links
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        return saved(_filtered(pairs, classes, percent))
+
+    def joined_by(joined: DataFrame, more: DataFrame) -> DataFrame:
+        out = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        dropped(joined, more)
+        return out
+
+    links = verified(tested[0])
+    joined = components(links)
+    dropped(links)
     # Neighbours in other orders: they draw nearly all of a crowd into one component at the cost of a pair a member.
     for turn in range(ROUNDS):
         known = _open_lists(met, joined)
-        by_chance = Window.partitionBy("shingle").orderBy(F.xxhash64("class", F.lit(turn)))
-        pairs = known.withColumn("other", F.lag(F.struct("class", "n", "component")).over(by_chance)).where("component <> other.component")
+        by_chance = Window.partitionBy("shingle").orderBy(F.xxhash64("key", F.lit(turn)))
+        pairs = known.withColumn("other", F.lag(F.struct("key", "n", "component")).over(by_chance)).where("component <> other.component")
         pairs = pairs.where(100 * F.least("n", "other.n") >= percent * F.greatest("n", "other.n"))
-        pairs = pairs.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = saved(_filtered(pairs, classes, percent))
-        more = verified(pairs)
-        tested = saved(tested.unionByName(pairs.select("a", "b")))
+        tested.append(untested(pairs.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()))
+        more = verified(tested[-1])
         if more.isEmpty():
+            dropped(more)
             break
-        joined = saved(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-        release(spark)
+        joined = joined_by(joined, more)
     # All pairs that meet in a shingle and still lie in different components.
     # A pair that meets in several lists is made in that of its first shared shingle: a row carries the class's first
     # open shingles that stand before its own, and where two rows have one of those in common, an earlier list has them.
     known = saved(_open_lists(met, joined))
-    release(spark)
-    begin = known.groupBy("class").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "shingle"))), 1, EARLY).alias("begin"))
+    dropped(met)
+    begin = known.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "shingle"))), 1, EARLY).alias("begin"))
     early = F.transform(F.filter("begin", lambda x: x["place"] < F.col("place")), lambda x: x["shingle"])
-    known = saved(known.join(begin, "class").withColumn("early", early).drop("begin"))
-    other = known.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "place", "component", "early")))
+    lists = saved(known.join(begin, "key").withColumn("early", early).drop("begin"))
+    dropped(known)
+    other = lists.select("shingle", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "place", "component", "early")))
     # Of similar sets the first shared shingle leaves room for the overlap behind it.
     bound = 1 + F.least(rest(F.col("n"), F.col("place")), rest(F.col("n2"), F.col("place2")))
     fits = _enough(F.col("n"), F.col("n2"), bound, percent) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    pairs = known.join(other, "shingle").where((F.col("class") < F.col("class2")) & (F.col("component") != F.col("component2")) & fits & ~F.arrays_overlap("early", "early2"))
-    pairs = pairs.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    pairs = saved(_filtered(pairs, classes, percent))
-    release(spark)
+    pairs = lists.join(other, "shingle").where((F.col("key") < F.col("key2")) & (F.col("component") != F.col("component2")) & fits & ~F.arrays_overlap("early", "early2"))
+    pairs = untested(pairs.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct())
+    dropped(lists, *tested)
     if not pairs.isEmpty():
-        more = verified(pairs)
-        joined = saved(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-
-    named = joined.withColumnRenamed("node", "class").join(classes.select("class", "id"), "class")
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "component").select("class", "component_id")
-    firsts = classes.select("class", "n", F.col("id").alias("class_id")).join(named, "class", "left")
-    firsts = saved(firsts.select("class", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id")))
-    out = made.select("id", "n", "class").join(firsts, ["class", "n"], "left")
-    own = lambda c: F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col(c)).otherwise(F.col("id")).alias(c)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own("component_id"), own("class_id"))
+        joined = joined_by(joined, verified(pairs))
+    dropped(pairs)
+
+    named = joined.withColumnRenamed("node", "class").join(classes.select("class", "least"), "class")
+    least = saved(named.groupBy("component").agg(F.min("least").alias("first")))
+    named = named.join(least, "component").select("class", "first")
+    firsts = classes.select("class", "n", F.col("id").alias("class_id"), "least").join(named, "class", "left")
+    firsts = saved(firsts.select("class", "n", "class_id", F.coalesce("first", "least").alias("first")))
+    dropped(classes, joined, least)
+    out = made.select("id", "version", "n", "class").join(firsts, ["class", "n"], "left")
+    linked = F.col("id").isNotNull() & (F.col("n") > 0)
+    own = lambda c, name: F.when(linked, F.col(c)).otherwise(F.col("id")).alias(name)
+    first = (F.when(linked, F.struct("id", "version") == F.col("first")).otherwise(True)).alias("first")
+    result = saved(out.select(F.col("id").alias("doc_id"), "version", F.col("n").cast("long").alias("n_shingles"), own("first.id", "component_id"), own("class_id", "class_id"), first))
+    dropped(made, firsts)
+    return result
+
+
+def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of docs for each component: that of the smallest id, and of the smallest hash of its text where texts share it.
+
+    Rows without shingles or without an id link with nothing and all stay; of rows that repeat id and text one stays.
+    """
+    groups = jaccard_groups(docs, id, text, size, percent)
+    linked = groups.where("n_shingles > 0 and doc_id is not null")
+    gone = saved(linked.where(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct())
+    twice = saved(linked.where("first").groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).count().where("count > 1").drop("count"))
+    dropped(groups)
+    marked = docs.withColumns({"_id": F.col(id).cast("long"), "_version": F.xxhash64(text)})
+    left = marked.join(gone, ["_id", "_version"], "left_anti")
+    if not twice.isEmpty():
+        once = left.join(twice, ["_id", "_version"], "left_semi").dropDuplicates(["_id", "_version"])
+        left = left.join(twice, ["_id", "_version"], "left_anti").unionByName(once)
+    return left.drop("_id", "_version")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("version", "first")
