@@ -31,11 +31,12 @@ KINDS = {str: T.StringType(), int: T.LongType(), bool: T.BooleanType(), float: T
 
 def test_conditions(spark):
     one = spark.range(1)
-    made = [conditions.compare(op, F.lit(left).cast(KINDS[type(left)]), KINDS[type(left)], right).alias(f"c{i}") for i, (op, left, right, _) in enumerate(CASES)]
+    literal = lambda x: f"cast({'NULL' if x is None else conditions.quoted(str(x))} as {KINDS[type(x)].simpleString()})"
+    made = [conditions.compare(op, literal(left), KINDS[type(left)], right).alias(f"c{i}") for i, (op, left, right, _) in enumerate(CASES)]
     assert list(one.select(*made).first()) == [want for *_, want in CASES]
     assert {op for op, *_ in CASES} <= set(conditions.OPERATORS) and len(conditions.OPERATORS) == 24
     with pytest.raises(ValueError):
-        conditions.compare("like", F.lit("a"), T.StringType(), "a")
+        conditions.compare("like", "'a'", T.StringType(), "a")
     with pytest.raises(ValueError):
         conditions.filter_tree(one, {"type": "xor", "condition": []})
     assert one.where(conditions.filter_tree(one, {})).count() == 1

@@ -198,10 +198,10 @@ for _name, (_op, _field, _constant, _sql) in CONDITIONS.items():
         _operator = _op if not _not else "!=" if _op == "==" else f"!{_op}"
         add(
             f"cond_{'not_' * _not}{_name}",
-            on("part", lambda p, op=_operator, f=_field, c=_constant: (x := part(p)).where(conditions.compare(op, F.col(f), conditions.type_of(x, f), c, located)).select("p_partkey")),
+            on("part", lambda p, op=_operator, f=_field, c=_constant: (x := part(p)).where(conditions.compare(op, f, conditions.type_of(x, f), c, located)).select("p_partkey")),
             f"SELECT p_partkey FROM {PART} WHERE {'NOT ' * _not}COALESCE({_sql}, FALSE)",
         )
-add("cond_number_as_text", on("part", lambda p: (x := part(p)).where(conditions.compare(">", F.col("kind"), conditions.type_of(x, "kind"), "5")).select("p_partkey")), f"SELECT p_partkey FROM {PART} WHERE FALSE")
+add("cond_number_as_text", on("part", lambda p: (x := part(p)).where(conditions.compare(">", "kind", conditions.type_of(x, "kind"), "5")).select("p_partkey")), f"SELECT p_partkey FROM {PART} WHERE FALSE")
 TREE = {
     "type": "or",
     "condition": [

@@ -12,13 +12,14 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewatch.functions import cel, conditions
-from tidewatch.functions.conditions import Locator, unknown_location
+from tidewatch.functions.conditions import Constant, Locator, Other, name_of, quoted, unknown_location
 from tidewatch.operators import windows
 from tidewatch.operators.windows import Period
 from tidewatch.plans.events import Registry
@@ -58,25 +59,44 @@ def leaves(node: dict | None) -> Iterator[dict]:
         yield node
 
 
+def variable_name(operand: dict) -> str:
+    """The variable of an operand. Its keys are those of its definition; an operand's own keys say the same."""
+    return operand["variable"] if "variable" in operand else operand["name"]
+
+
 def label(operand: dict) -> str:
     """How an explanation names an operand."""
     kind = operand["kind"]
     if kind == "event_field":
         return operand["field"]
     if kind == "variable":
-        return operand["name"]
+        return variable_name(operand)
     c = operand.get("counter", operand)
     return f"{c['algorithm']}({','.join(c.get('operand') or []) or '*'}) by {','.join(c.get('groupby') or [])} in {c['window']}s"
 
 
 class Compiler:
-    """One event stream with the counters and variables that a set of strategies asks for."""
+    """One event stream with the counters and variables that a set of strategies asks for.
+
+    Conditions become SQL text, parsed once for all strategies: a call across to the JVM for each part of each condition
+    would take far longer than running them. What has no text (expressions, places) becomes a column that the text names.
+    """
 
     def __init__(self, df: DataFrame, events: Registry, graph: Graph | None = None, ordered: bool = True, locate: Locator = unknown_location, zone: str = cel.ZONE):
         self.df, self.events, self.graph, self.ordered, self.locate, self.zone = df, events, graph, ordered, locate, zone
         self.counters: dict[str, str] = {}
+        #: The types of the stream's columns; those of the events as they came stay in fields.
         self.kinds = {f.name: f.dataType for f in df.schema}
+        self.fields = dict(self.kinds)
         self.notices: dict[str, Column] = {}
+        self.made = 0
+
+    def add(self, value: Column) -> str:
+        """The name, in SQL text, of a new column of this value."""
+        name = f"e:{self.made}"
+        self.made += 1
+        self.df = self.df.withColumn(name, value)
+        return name_of(name)
 
     def counter(self, c: dict) -> str:
         """The column of an inline counter; equal ones share it. A counter counts every event of its type in the stream."""
@@ -85,7 +105,7 @@ class Compiler:
             out = f"c:{len(self.counters)}"
             where, x = self.counted(c)
             self.df = windows.with_keys(self.df, list(c.get("groupby") or ()))
-            self.df = windows.running(self.df, out, c["algorithm"], Period("last_n_seconds", c["window"]), list(c.get("groupby") or ()), x, where=where, ordered=self.ordered)
+            self.df = windows.running(self.df, out, c["algorithm"], Period("last_n_seconds", c["window"]), list(c.get("groupby") or ()), F.expr(x), where=F.expr(where), ordered=self.ordered)
             self.counters[key] = out
         return self.counters[key]
 
@@ -95,121 +115,167 @@ class Compiler:
         new = {k: c for k, c in asked.items() if k not in self.counters}
         if not self.ordered or len(new) < 2:
             return
+        counted = {k: self.counted(c) for k, c in new.items()}
         self.df = windows.with_keys(self.df, sorted({g for c in new.values() for g in c.get("groupby") or ()}))
-        columns = {}
+        made = []
         for key, c in new.items():
-            where, x = self.counted(c)
             self.counters[key] = out = f"c:{len(self.counters)}"
-            columns[out] = windows.sliding(c["algorithm"], Period("last_n_seconds", c["window"]), list(c.get("groupby") or ()), F.when(where, x))
-        self.df = self.df.withColumns(columns)
+            made.append(f"{windows.counter_sql(c['algorithm'], c['window'], list(c.get('groupby') or ()), *counted[key])} AS {name_of(out)}")
+        self.df = self.df.selectExpr("*", *made)
 
-    def counted(self, c: dict) -> tuple[Column, Column]:
-        """(which events a counter counts, its operand)."""
+    def counted(self, c: dict) -> tuple[str, str]:
+        """(which events a counter counts, its operand) in SQL text."""
         if c["algorithm"] not in ALGORITHMS:
             raise ValueError(f"unknown counter {c['algorithm']!r}")
-        where = conditions.filter_tree(self.df, c.get("filter"), self.locate)
+        where = conditions.filter_sql(self.fields, c.get("filter"))
+        if where is None:
+            where = self.add(conditions.filter_tree(self.df, c.get("filter"), self.locate))
         if c.get("event"):
-            where = where & self.events.matches(F.col("name"), c["event"])
+            where = f"({where} AND {self.events.matches_sql(c['event'])})"
         operand = (c.get("operand") or [None])[0]
-        return where, conditions.field(self.df, operand) if operand else F.lit(1)
-
-    def variable(self, name: str) -> str:
-        if name not in self.df.columns:
-            self.df = self.graph.compile(self.df, [name], self.ordered)
-        return name
+        return where, conditions.field_sql(self.fields, operand) if operand else "1"
 
-    def operand(self, o: dict) -> Column:
+    def operand(self, o: dict) -> tuple[str, T.DataType]:
+        """(SQL text, type) of an operand."""
         kind = o["kind"]
         if kind == "event_field":
-            return conditions.field(self.df, o["field"])
+            return conditions.field_sql(self.fields, o["field"]), self.fields.get(o["field"], T.NullType())
         if kind == "variable":
-            return F.col(f"`{self.variable(o['name'])}`")
+            name = variable_name(o)
+            if name not in self.kinds:
+                if self.graph is None:
+                    raise ValueError(f"unknown variable {name!r}")
+                self.df = self.graph.compile(self.df, [name], self.ordered)
+                self.kinds[name] = self.df.schema[name].dataType
+            return name_of(name), self.kinds[name]
         if kind == "counter":
-            return F.col(f"`{self.counter(o.get('counter', o))}`")
+            c = o.get("counter", o)
+            return name_of(self.counter(c)), T.DoubleType() if c["algorithm"] == "sum" else T.LongType()
+        if kind == "constant":
+            v = o.get("value")
+            if isinstance(v, bool) or v is None:
+                return str(v).lower() if v is not None else "NULL", T.BooleanType() if v is not None else T.NullType()
+            return (f"double({quoted(repr(float(v)))})", T.DoubleType()) if isinstance(v, (int, float)) else (quoted(str(v)), T.StringType())
         raise ValueError(f"unknown operand {kind!r}")
 
-    def kind(self, o: dict) -> T.DataType:
-        """The type of an operand, without analysing the plan again."""
-        if o["kind"] == "counter":
-            return T.DoubleType() if o.get("counter", o)["algorithm"] == "sum" else T.LongType()
-        return self.kinds.get(o["field"], T.NullType()) if o["kind"] == "event_field" else self.df.schema[o["name"]].dataType
+    def tree(self, node: dict | None, known: bool | None = None) -> tuple[str, list[tuple[str, str, str]]]:
+        """(whether it holds, its explanation: label, entry and when it is reached) in SQL text.
 
-    def tree(self, node: dict | None) -> tuple[Column, Column]:
-        """(whether it holds, its explanation entries): only comparisons that are reached explain; and/or stop early."""
-        none = F.array().cast(f"array<struct<key:string,value:struct<value:string,operator:string,threshold:string>>>")
+        Only comparisons that are reached explain; and/or stop early. known: the value that the tree is asked to explain, if
+        it is known; where that settles what is reached, nothing is tested for it.
+        """
         if not node:
-            return F.lit(True), none
+            return "true", []
         if "conditions" in node:
             op = node["op"]
             if op not in ("and", "or", "not"):
                 raise ValueError(f"unknown combination {op!r}")
-            value, reached, notes = F.lit(op != "or"), F.lit(True), none
-            for c in node["conditions"][: 1 if op == "not" else None]:
-                v, n = self.tree(c)
-                notes = F.concat(notes, F.when(reached, n).otherwise(none))
-                if op == "or":
-                    value, reached = value | v, reached & ~v
-                else:
-                    value, reached = value & v, reached & v
-            return ~value if op == "not" else value, notes
+            if op == "not":
+                if not node["conditions"]:
+                    return "false", []
+                value, notes = self.tree(node["conditions"][0], None if known is None else not known)
+                return f"(NOT {value})", notes
+            go_on = op == "and"
+            settled = known is go_on
+            values, notes = [], []
+            for c in node["conditions"]:
+                value, own = self.tree(c, known if settled else None)
+                reached = [] if settled or not values else [v if go_on else f"NOT {v}" for v in values]
+                notes += [(name, entry, " AND ".join([*reached, *([when] if when else [])])) for name, entry, when in own]
+                values.append(value)
+            return "(" + f" {op.upper()} ".join(values) + ")" if values else str(go_on).lower(), notes
         if "cel" in node:
-            return cel.compile_cel(self.df, node["cel"], self.zone, self.locate, self.notices), none
-        left, right = self.operand(node["left"]), node["right"]
-        o = node["left"]
-        kind = self.kind(o)
-        if right.get("kind", "constant") != "constant":
-            r = self.operand(right)
-            value = F.coalesce({"==": left == r, ">": left > r, ">=": left >= r, "<": left < r, "<=": left <= r}.get(node["op"], ~(left == r)), F.lit(node["op"] == "!="))
-            threshold = r.cast("string")
+            return self.add(cel.compile_cel(self.df, node["cel"], self.zone, self.locate, self.notices)), []
+        left, kind = self.operand(node["left"])
+        right, op = node.get("right") or {"kind": "constant", "value": None}, node["op"]
+        if op not in conditions.OPERATORS:
+            raise ValueError(f"unknown operator {op!r}")
+        fixed = right.get("kind", "constant") == "constant"
+        if "location" in op:
+            if not fixed:
+                raise ValueError(f"{op!r} takes a constant")
+            value = self.add(conditions.compare(op, left, kind, right.get("value"), self.locate))
         else:
-            value, threshold = conditions.compare(node["op"], left, kind, right["value"], self.locate), F.lit(str(right["value"]))
-        note = F.struct(F.lit(label(o)).alias("key"), F.struct(left.cast("string").alias("value"), F.lit(node["op"]).alias("operator"), threshold.alias("threshold")).alias("value"))
-        return value, F.array(note)
-
-    def hit(self, s: Strategy) -> tuple[Column, Column, Column, list[Column]]:
-        """(whether it holds, subject, explanation, further fields) of a strategy on each event."""
-        holds, notes = self.tree(s.condition)
+            value = conditions.compare_sql(op, left, kind, Constant(right.get("value")) if fixed else Other(*self.operand(right)))
+        if node["left"]["kind"] == "constant":
+            return value, []
+        threshold = quoted(str(right.get("value"))) if fixed else f"cast({self.operand(right)[0]} as string)"
+        entry = f"named_struct('value', cast({left} as string), 'operator', {quoted(op)}, 'threshold', {threshold})"
+        return value, [(label(node["left"]), entry, "")]
+
+    def explained(self, notes: list[tuple[str, str, str]]) -> str:
+        """The map of explanation entries; of those with one label the last that is reached stays."""
+        if not notes:
+            return f"cast(map() as {EXPLAIN})"
+        if not any(when for *_, when in notes):
+            last = {name: entry for name, entry, _ in notes}
+            return f"cast(map({', '.join(f'{quoted(name)}, {entry}' for name, entry in last.items())}) as {EXPLAIN})"
+        entries = [f"named_struct('key', {quoted(name)}, 'value', {entry})" for name, entry, _ in notes]
+        entries = [f"CASE WHEN {when} THEN {entry} END" if when else entry for entry, (*_, when) in zip(entries, notes)]
+        fold = "(m, e) -> map_concat(map_filter(m, (k, v) -> k <> e.key), map(e.key, e.value))"
+        each = f"array_compact(array({', '.join(entries)}))"
+        return f"aggregate(cast({each} as array<struct<key:string,value:struct<value:string,operator:string,threshold:string>>>), cast(map() as {EXPLAIN}), {fold})"
+
+    def hit(self, s: Strategy) -> tuple[str, str, str]:
+        """(whether it holds, subject, explanation) of a strategy on each event, in SQL text."""
+        holds, notes = self.tree(s.condition, True)
         if s.event:
-            holds = holds & self.events.matches(F.col("name"), s.event)
-        for at, bound in zip((0, 1), s.effective):
+            holds = f"({holds} AND {self.events.matches_sql(s.event)})"
+        for op, bound in zip((">=", "<"), s.effective):
             if bound is not None:
-                holds = holds & ((F.col("ts") >= bound) if at == 0 else (F.col("ts") < bound))
-        # of entries with one label the last stays
-        entries = F.aggregate(notes, F.create_map().cast(EXPLAIN), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
-        explain = entries if s.action.get("explain", True) else F.create_map().cast(EXPLAIN)
-        key = conditions.field(self.df, s.action.get("check_value", "uid")).cast("string")
-        return holds, key, explain, [conditions.field(self.df, f).cast("string").alias(f) for f in PLACE]
+                holds = f"({holds} AND ts {op} {bound})"
+        key = f"cast({conditions.field_sql(self.fields, s.action.get('check_value', 'uid'))} as string)"
+        return holds, key, self.explained(notes if s.action.get("explain", True) else [])
+
+    def place(self) -> list[str]:
+        return [f"cast({conditions.field_sql(self.fields, f)} as string) AS {f}" for f in PLACE]
 
     def hits(self, s: Strategy) -> DataFrame:
         """(key, ts, seq, explanation, fields) of the events that a strategy holds for, before deduplication."""
-        holds, key, explain, place = self.hit(s)
-        return self.df.where(holds).select(key.alias("key"), "ts", "seq", explain.alias("variable_values"), *place)
+        holds, key, explain = self.hit(s)
+        return self.df.where(holds).selectExpr(f"{key} AS key", "ts", "seq", f"{explain} AS variable_values", *self.place())
 
     def all_hits(self, strategies: list[Strategy]) -> DataFrame:
-        """(strategy, key, ts, seq, explanation, fields) of many strategies in one pass over the stream."""
+        """(strategy, key, ts, seq, explanation, fields) of many strategies in one pass over the stream.
+
+        One boolean a strategy is computed for every event; only those that hold are explained.
+        """
         self.prepare(strategies)
-        found = [(i, *self.hit(s)) for i, s in enumerate(strategies)]  # all counters are columns from here on
-        each = [F.when(holds & key.isNotNull() & (key != ""), F.struct(F.lit(i).alias("strategy"), key.alias("key"), explain.alias("variable_values"), *place)) for i, holds, key, explain, place in found]
-        return self.df.select("ts", "seq", F.explode(F.array_compact(F.array(*each))).alias("h")).select("h.*", "ts", "seq")
+        found = [self.hit(s) for s in strategies]  # all counters are columns from here on
+        holding = ", ".join(f"CASE WHEN {holds} THEN {i} END" for i, (holds, *_) in enumerate(found))
+        df = self.df.selectExpr("*", f"explode(array_compact(array({holding}))) AS _strategy")
+
+        def of(texts: list[str]) -> str:
+            same: dict[str, list[int]] = {}
+            for i, text in enumerate(texts):
+                same.setdefault(text, []).append(i)
+            if len(same) == 1:
+                return texts[0]
+            return "CASE " + " ".join(f"WHEN _strategy IN ({', '.join(map(str, at))}) THEN {text}" for text, at in same.items()) + " END"
+
+        key, explain = of([k for _, k, _ in found]), of([e for *_, e in found])
+        return df.selectExpr("_strategy AS strategy", f"{key} AS key", f"{explain} AS variable_values", *self.place(), "ts", "seq")
+
 
+ABOUT = "array<struct<check_type:string,strategy_name:string,scene_name:string,decision:string,risk_score:int,ttl:bigint,remark:string,tags:array<string>,test:boolean>>"
 
-def described(s: Strategy) -> dict[str, Column]:
+
+def described(s: Strategy) -> dict:
     """The fields of a strategy's notices that are the same in all of them."""
-    a, lit = s.action, F.lit
-    return {
-        "check_type": lit(a.get("check_type", "USER")), "strategy_name": lit(s.name), "scene_name": lit(a.get("scene", "")), "decision": lit(a.get("decision", "review")), "risk_score": lit(int(a.get("score", 0))),
-        "ttl": lit(int(a.get("ttl", 300)) * 1000), "remark": lit(a.get("remark", "")), "tags": F.array(*map(lit, a.get("tags", []))).cast("array<string>"), "test": lit(s.status == "test"), "window": lit(int(a.get("dedup_window", DEDUP)) * 1000),
-    }
+    a = s.action
+    out = {"check_type": a.get("check_type", "USER"), "strategy_name": s.name, "scene_name": a.get("scene", ""), "decision": a.get("decision", "review")}
+    return out | {"risk_score": int(a.get("score", 0)), "ttl": int(a.get("ttl", 300)) * 1000, "remark": a.get("remark", ""), "tags": list(a.get("tags", [])), "test": s.status == "test"}
 
 
 def notices(hits: DataFrame, strategies: list[Strategy]) -> DataFrame:
     """The notices of hits (strategy: its number): those not within the deduplication time of the last one emitted."""
     hits = hits.where("key is not null and key <> ''")
-    about = F.array(*(F.struct(*(c.alias(n) for n, c in described(s).items())) for s in strategies))
     windows_ = [int(s.action.get("dedup_window", DEDUP)) * 1000 for s in strategies]
     kept = deduplicated(hits, ["strategy", "key"], windows_)
+    about = F.from_json(F.lit(json.dumps([described(s) for s in strategies])), ABOUT)
     x = kept.withColumn("_a", F.get(about, F.col("strategy")))
-    return x.select(F.col("ts").alias("timestamp"), "key", *(F.col(f"_a.{n}") for n in ("check_type", "strategy_name", "scene_name", "decision", "risk_score")), (F.col("ts") + F.col("_a.ttl")).alias("expire"), "_a.remark", "_a.tags", "_a.test", *PLACE, "variable_values")
+    fields = [f"_a.{n}" for n in ("check_type", "strategy_name", "scene_name", "decision", "risk_score")]
+    return x.selectExpr("ts AS timestamp", "key", *fields, "ts + _a.ttl AS expire", "_a.remark", "_a.tags", "_a.test", *PLACE, "variable_values")
 
 
 def _fold(df: DataFrame, keys: list[str], start, step, schema=None) -> DataFrame:
@@ -235,20 +301,34 @@ def _fold(df: DataFrame, keys: list[str], start, step, schema=None) -> DataFrame
 def deduplicated(hits: DataFrame, keys: list[str], window: int | list[int]) -> DataFrame:
     """Hits that come at least window ms after the last one kept of the same keys, in order of arrival; 0 keeps all.
 
-    A list has a window for each number in the column strategy. Only times are folded in Python; the rest of the row is
-    joined back by (keys, seq).
+    A list has a window for each number in the column strategy. One shuffle; Arrow batches are filtered as they are, and only
+    their keys and times are looked at.
     """
     if window in (0, [0]) or isinstance(window, list) and not any(window):
         return hits
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, since = None, None
+        for batch in batches:
+            found = [batch.column(k).to_pylist() for k in range(width)]
+            times = batch.column(width).to_pylist()
+            gaps = [window[i] for i in batch.column(width + 1).to_pylist()] if isinstance(window, list) else [window] * len(times)
+            mask = []
+            for key, ts, gap in zip(zip(*found), times, gaps):
+                if key != last:
+                    last, since = key, None
+                keep = since is None or ts - since >= gap
+                if keep:
+                    since = ts
+                mask.append(keep)
+            rest = batch.filter(pa.array(mask, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(rest.columns[width + 2 :], rest.schema.names[width + 2 :])
 
-    def step(state: dict, row: dict) -> list:
-        if "last" in state and row["ts"] - state["last"] < (window if isinstance(window, int) else window[row["strategy"]]):
-            return []
-        state["last"] = row["ts"]
-        return [tuple(row.values())]
-
-    kept = _fold(hits.select(*keys, "ts", "seq"), keys, dict, step).drop("ts")
-    return hits.join(kept, [*keys, "seq"], "left_semi")
+    heads = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    number = F.col("strategy") if isinstance(window, list) else F.lit(0)
+    dealt = hits.repartition(*keys).sortWithinPartitions(*keys, "seq")
+    return dealt.select(*heads, F.col("ts").alias("_ts"), number.alias("_n"), *(F.col(name_of(c)) for c in hits.columns)).mapInArrow(run, hits.schema)
 
 
 def deduplicated_sql(hits: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -262,24 +342,28 @@ def absent(compiler: Compiler, s: Strategy, flush: bool = False) -> DataFrame:
     """Delayed strategies: each hit is put off, and holds if its delay condition does then, on the hit's own fields.
 
     The put-off hits join the stream as rows that no counter counts, so the condition's counters see the window that ends
-    when they are due. A hit that falls due after the stream's end never holds, but with flush.
+    when they are due. A hit that falls due after the stream's end never holds, but with flush. The explanation of the hit is
+    kept, and the delay condition's entries are added to it.
     """
     wait = int(s.delay["seconds"]) * 1000
-    base = compiler.df.select(*[c for c in compiler.kinds])
-    compiler_hits = Compiler(base, compiler.events, compiler.graph, compiler.ordered, compiler.locate, compiler.zone)
-    holds, _ = compiler_hits.tree(s.condition)
-    if s.event:
-        holds = holds & compiler.events.matches(F.col("name"), s.event)
-    parked = compiler_hits.df.where(holds).select(*base.columns).withColumns({"ts": F.col("ts") + wait, "_probe": F.lit(True)})
-    end = base.agg(F.max("ts")).first()[0]
+    fields = list(compiler.fields)
+    base = compiler.df.select(*(name_of(c) for c in fields))
+    first = Compiler(base, compiler.events, compiler.graph, compiler.ordered, compiler.locate, compiler.zone)
+    first.notices = compiler.notices
+    holds, _, explain = first.hit(s)
+    parked = first.df.where(holds).selectExpr(*(name_of(c) for c in fields), f"{explain} AS _notes").withColumns({"ts": F.col("ts") + wait, "_probe": F.lit(True)})
     if not flush:
-        parked = parked.where(F.col("ts") <= F.lit(end))
-    both = base.withColumn("_probe", F.lit(False)).unionByName(parked)
-    probing = Compiler(both, _Without(compiler.events), compiler.graph, True, compiler.locate, compiler.zone)
-    holds, _ = probing.tree(s.delay.get("condition"))
-    key = conditions.field(probing.df, s.action.get("check_value", "uid")).cast("string")
-    place = {f: conditions.field(probing.df, f).cast("string") for f in ("geo_province", "geo_city", "uri_stem")}
-    return probing.df.where(F.col("_probe") & holds).select(key.alias("key"), "ts", "seq", F.create_map().cast(EXPLAIN).alias("variable_values"), *(c.alias(f) for f, c in place.items()))
+        parked = parked.where(F.col("ts") <= base.agg(F.max("ts")).scalar())
+    both = base.withColumns({"_notes": F.lit(None).cast(EXPLAIN), "_probe": F.lit(False)}).unionByName(parked)
+    probing = Compiler(both, _Without(compiler.events), compiler.graph, compiler.ordered, compiler.locate, compiler.zone)
+    probing.fields = compiler.fields
+    probing.notices = compiler.notices
+    holds, notes = probing.tree(s.delay.get("condition"), True)
+    _, key, _ = probing.hit(Strategy(s.name, action=s.action))
+    later = probing.explained(notes if s.action.get("explain", True) else [])
+    found = probing.df.where(f"_probe AND {holds}").selectExpr(f"{key} AS key", "ts", "seq", f"{later} AS _later", "_notes", *probing.place())
+    values = "map_concat(map_filter(_notes, (k, v) -> NOT map_contains_key(_later, k)), _later) AS variable_values"
+    return found.selectExpr("key", "ts", "seq", values, *PLACE)
 
 
 class _Without(Registry):
@@ -291,6 +375,9 @@ class _Without(Registry):
     def matches(self, column: Column, name: str) -> Column:
         return super().matches(column, name) & ~F.col("_probe")
 
+    def matches_sql(self, name: str) -> str:
+        return f"({super().matches_sql(name)} AND NOT _probe)"
+
 
 class Steps:
     """How far the sequences of one key have come. Plain Python, shared by batch and stream."""
@@ -329,9 +416,9 @@ def sequences(compiler: Compiler, s: Strategy) -> DataFrame:
     fits = []
     for step in steps:
         holds, _ = compiler.tree(step.get("condition"))
-        fits.append((compiler.events.matches(F.col("name"), step["event"]) & holds) if step.get("event") else holds)
+        fits.append(f"({holds} AND {compiler.events.matches_sql(step['event'])})" if step.get("event") else holds)
     keys = [f"_{b}" for b in by]
-    marked = compiler.df.select(*(F.coalesce(F.col(b).cast("string"), F.lit("")).alias(k) for k, b in zip(keys, by)), "ts", "seq", *(f.alias(f"_s{i}") for i, f in enumerate(fits)))
+    marked = compiler.df.select(*(F.coalesce(F.col(b).cast("string"), F.lit("")).alias(k) for k, b in zip(keys, by)), "ts", "seq", *(F.expr(f).alias(f"_s{i}") for i, f in enumerate(fits)))
     marked = marked.where(" or ".join(f"_s{i}" for i in range(len(steps))))
     schema = marked.select(*keys, "ts", "seq", F.array("ts").alias("times")).schema
     n, most = len(steps), int(q.get("max_partial_per_key", MOST_PARTIAL))
@@ -375,7 +462,7 @@ def run(df: DataFrame, strategies: list[Strategy], events: Registry, graph: Grap
                     name = f"n:{len(compiler.notices)}"
                     if c.args[2] in done:
                         compiler.df = notice_counts(compiler.df, done[c.args[2]], kind, str(c.args[1]), c.args[2], int(seconds), name)
-                        compiler.notices[key] = F.col(f"`{name}`")
+                        compiler.notices[key] = F.col(name_of(name))
                     else:
                         compiler.notices[key] = F.lit(0)
         plain = [s for s in ready if not s.delay and not s.sequence]

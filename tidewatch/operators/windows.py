@@ -72,6 +72,14 @@ def sliding(op: str, period: Period, keys: list[str], v: Column, ts: str = "ts",
     return aggregates.aggregate(op, v, F.col(ts), F.col(seq), over=lambda c: c.over(w))
 
 
+def counter_sql(op: str, seconds: int, keys: list[str], where: str, value: str) -> str:
+    """The same of a count, sum or distinct count over the last seconds, in SQL text."""
+    over = f"OVER (PARTITION BY {', '.join(f'`_key_{k}`' for k in keys) or 'NULL'} ORDER BY ts RANGE BETWEEN {int(seconds) * 1000 - 1}L PRECEDING AND CURRENT ROW)"
+    v = f"CASE WHEN {where} THEN {value} END"
+    found = {"count": f"count({v}) {over}", "sum": f"coalesce(sum(cast({v} as double)) {over}, 0.0D)", "distinct_count": f"cast(size(collect_set(cast({v} as string)) {over}) as bigint)"}
+    return found[op]
+
+
 def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with the columns that windows are partitioned by, unless it has them: statistics that share them share a shuffle."""
     new = {f"_key_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys if f"_key_{c}" not in df.columns}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions import conditions
+
 KINDS = {"long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "bool": T.BooleanType()}
 AUTOMATIC = {"id": T.StringType(), "pid": T.StringType(), "timestamp": T.LongType()}
 
@@ -52,6 +54,10 @@ class Registry:
         """Whether an event's name is this type or one below it: a list of literals, nothing to join."""
         return F.coalesce(column.isin(self.descendants(name)), F.lit(False))
 
+    def matches_sql(self, name: str) -> str:
+        """The same of the column name, in SQL text."""
+        return f"coalesce(name IN ({', '.join(map(conditions.quoted, self.descendants(name)))}), false)"
+
     def schema(self, name: str) -> T.StructType:
         """All fields: inherited ones first, replaced by a child's of the same name, then the automatic ones."""
         merged: dict[str, T.DataType] = {}

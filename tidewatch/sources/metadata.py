@@ -93,11 +93,11 @@ def problems(s: rules.Strategy, events: Registry, variables: set[str] = frozense
             continue
         if leaf["op"] not in conditions.OPERATORS:
             out.append(f"unknown operator {leaf['op']!r}")
-        for o in (leaf["left"], leaf["right"]):
+        for o in filter(None, (leaf["left"], leaf.get("right"))):
             if o["kind"] == "event_field" and (f := fields(s.event)) and o["field"] not in f:
                 out.append(f"unknown field {o['field']!r}")
-            if o["kind"] == "variable" and o["name"] not in variables:
-                out.append(f"unknown variable {o['name']!r}")
+            if o["kind"] == "variable" and rules.variable_name(o) not in variables:
+                out.append(f"unknown variable {rules.variable_name(o)!r}")
             if o["kind"] == "counter":
                 c = o.get("counter", o)
                 known(c.get("event"), "counter")
