@@ -310,3 +310,37 @@ def test_metadata(spark, tmp_path):
     bad = rules.Strategy("b", {"op": "and", "conditions": [{"left": counter, "op": "like", "right": {"kind": "constant", "value": "1"}}, {"left": {"kind": "variable", "name": "v"}, "op": "==", "right": {"kind": "constant", "value": "1"}}, {"cel": "x =="}]}, "LOGIN")
     assert len(metadata.problems(bad, EVENTS)) == 5
     assert metadata.problems(rules.Strategy("g", {"left": {"kind": "event_field", "field": "uid"}, "op": "==", "right": {"kind": "constant", "value": "1"}}, "LOGIN"), EVENTS) == []
+
+
+DYNAMIC = [
+    ("==", 5, " 5.0", True), ("==", 5, "x", False), ("==", "5", 5, True), ("==", None, "a", False), ("!=", None, "a", True), ("==", True, "true", True), ("==", True, True, True), ("==", False, None, True), (">", 10, 9.5, True),
+    (">", 10, "9", True), (">", "10", 5, False), (">=", 5, None, False), ("<", 5, "y", False), ("<=", 5, 5, True), ("contains", "abc", "b", True), ("!contains", "abc", "b", False), ("contains", "a null", None, True),
+    ("contains", 5, "5", False), ("startwith", "abc", "ab", True), ("!startwith", 5, "5", True), ("endwith", "abc", "bc", True), ("!endwith", "abc", "bc", False), ("regex", "abc", "a.c", True), ("regex", "abcd", "a.c", False),
+    ("!regex", "abc", "a.c", False), ("in", "b", "a, b ,c", True), ("in", 7, "1,7", True), ("!in", "d", "a,b", True), ("in", None, "a", False),
+]
+
+
+def test_dynamic_operands(spark):
+    """The right side is another operand of the row: every operator, strict types, and an error for one that isn't known."""
+    kinds = {k: v for k, v in KINDS.items()}
+    rows = [(f"l{i}", left, f"r{i}", right) for i, (_, left, right, _) in enumerate(DYNAMIC)]
+    schema = T.StructType([f for n, x, m, y in rows for f in (T.StructField(n, kinds[type(x)]), T.StructField(m, kinds[type(y)]))])
+    df = spark.createDataFrame([tuple(v for _, x, _, y in rows for v in (x, y))], schema)
+    compiler = rules.Compiler(df, EVENTS)
+    field = lambda n: {"kind": "event_field", "field": n}
+    made = [compiler.tree({"left": field(f"l{i}"), "op": op, "right": field(f"r{i}")})[0] for i, (op, *_) in enumerate(DYNAMIC)]
+    assert list(df.selectExpr(*(f"{x} AS c{i}" for i, x in enumerate(made))).first()) == [want for *_, want in DYNAMIC]
+    for right in (field("r0"), {"kind": "constant", "value": "1"}):
+        with pytest.raises(ValueError):
+            compiler.tree({"left": field("l0"), "op": "like", "right": right})
+    with pytest.raises(ValueError):
+        compiler.tree({"left": {"kind": "variable", "variable": "none"}, "op": "==", "right": field("r0")})
+
+
+def test_explanations_of_what_is_reached(spark):
+    leaf = lambda f, op, v: {"left": {"kind": "event_field", "field": f}, "op": op, "right": {"kind": "constant", "value": v}}
+    tree = {"op": "or", "conditions": [{"op": "and", "conditions": [leaf("v", ">", "2"), leaf("g", "==", "a")]}, {"op": "not", "conditions": [leaf("uid", "==", "x'y\\z")]}]}
+    s = [rules.Strategy("one", tree, action={"dedup_window": 0}), rules.Strategy("two", tree, action={"dedup_window": 0, "explain": False})]
+    df = stream(spark, [(1, 1, "A", "k", 3.0, "a"), (2, 2, "A", "k", 1.0, "a"), (3, 3, "A", "k", 3.0, "b"), (4, 4, "A", "x'y\\z", 3.0, "b")])
+    got = {(r.strategy_name, r.timestamp): set(r.variable_values) for r in rules.run(df, s, EVENTS).collect()}
+    assert got == {("one", 1): {"v", "g"}, ("one", 2): {"v", "uid"}, ("one", 3): {"v", "g", "uid"}, ("two", 1): set(), ("two", 2): set(), ("two", 3): set()}

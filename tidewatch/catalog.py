@@ -293,6 +293,21 @@ add(
     on_events(lambda e: rules.run(e, [rules.Strategy("ratio", _two, "error", "test", ACTION)], EVENTS, Graph(VARIABLES, EVENTS)).select("timestamp", "key", "test")),
     f"SELECT ts AS timestamp, CAST(uid AS VARCHAR) AS key, TRUE AS test FROM (SELECT s.*, e.ts FROM {_dual} s JOIN {EV} e USING (seq)) WHERE name = 'error' AND CAST(el AS DOUBLE) / a >= 0.5",
 )
+_operands = {
+    "op": "and",
+    "conditions": [
+        {"left": {"kind": "event_field", "field": "amount"}, "op": ">", "right": ERRORS_3D},
+        {"left": {"kind": "variable", "variable": "dual_div", "keys": ["uid"]}, "op": "!=", "right": {"kind": "event_field", "field": "amount"}},
+        {"left": {"kind": "event_field", "field": "name"}, "op": "!contains", "right": {"kind": "event_field", "field": "grp"}},
+    ],
+}
+_operand_rows = f"(SELECT *, COUNT(CASE WHEN name = 'error' THEN 1 END) OVER ({SLIDING.format(size=3 * DAY - 1)}) AS n FROM {EV})"
+add(
+    "rule_operands",
+    on_events(lambda e: rules.run(e, [rules.Strategy("operands", _operands, "error", action=ACTION)], EVENTS, Graph(VARIABLES, EVENTS)).select("timestamp", "key", F.size("variable_values").alias("entries"))),
+    f"SELECT e.ts AS timestamp, CAST(e.uid AS VARCHAR) AS key, 3 AS entries FROM (SELECT seq, el, a FROM {_dual}) s JOIN {_operand_rows} e USING (seq) WHERE e.name = 'error' AND e.amount > e.n"
+    " AND NOT COALESCE(CAST(el AS DOUBLE) / a = e.amount, FALSE) AND NOT COALESCE(contains(e.name, CAST(e.grp AS VARCHAR)), FALSE)",
+)
 DELAYED = rules.Strategy(
     "no_purchase", None, "view", action=ACTION,
     delay={"seconds": 432_000, "condition": {"left": {"kind": "counter", "counter": {"event": "purchase", "window": 432_000, "algorithm": "count", "operand": [], "groupby": ["uid"]}}, "op": "==", "right": {"kind": "constant", "value": "0"}}},
@@ -302,6 +317,13 @@ add(
     on_events(lambda e: burst(e, DELAYED).select("timestamp", "key")),
     f"SELECT a.ts + {5 * DAY} AS timestamp, CAST(a.uid AS VARCHAR) AS key FROM {EV} a WHERE a.name = 'view' AND a.ts + {5 * DAY} <= (SELECT MAX(ts) FROM {EV}) AND NOT EXISTS (SELECT 1 FROM {EV} b WHERE b.uid = a.uid AND b.name = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + {5 * DAY})",
 )
+LATE = rules.Strategy("late", {"left": {"kind": "event_field", "field": "amount"}, "op": ">", "right": {"kind": "constant", "value": "5"}}, "view", action=ACTION, delay=DELAYED.delay)
+_late = ORACLES["rule_delay_absence"].replace("SELECT a.ts", "SELECT a.amount, a.ts", 1) + " AND a.amount > 5"
+add(
+    "rule_delay_explain",
+    on_events(lambda e: explained(burst(e, LATE))),
+    f"SELECT timestamp, key, 'amount' AS subject, ROUND(amount, 6) AS value, '>' AS operator, '5' AS threshold FROM ({_late}) UNION ALL SELECT timestamp, key, 'count(*) by uid in 432000s', 0, '==', '0' FROM ({_late})",
+)
 STEPS = rules.Strategy("funnel", action=ACTION, sequence={"steps": [{"event": "view"}, {"event": "error"}, {"event": "purchase"}], "within_seconds": 864_000, "by": ["uid"]})
 add("rule_sequence_3step", on_events(lambda e: burst(e, STEPS).select("timestamp", "key", F.size("variable_values").alias("steps"))))
 
