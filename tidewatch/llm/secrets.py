@@ -41,7 +41,7 @@ server database mysql postgres oracle public private company office home compute
 #: Rows of a keyboard and of alphabets along which walks go.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "01234567890", "abcdefghijklmnopqrstuvwxyz")
 RANK = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, RANK))
+LONGEST = max(10, *map(len, RANK))  # of words and dates
 STEPS = {pair for row in ROWS for r in (row, row[::-1]) for pair in zip(r, r[1:])}
 LOOKS = str.maketrans("4@3015$7!", "aaeoissti")
 SEGMENT = math.log10(2)
@@ -57,10 +57,11 @@ def guess_cost(value: str) -> float:
         run = run + 1 if end > 1 and low[end - 2] == c else 1
         walk = walk + 1 if end > 1 and (low[end - 2], c) in STEPS else 1
         cost = best[-1] + (1.0 if c.isalnum() else 1.2)
-        if run >= 3:
-            cost = min(cost, best[end - run] + math.log10(36 * run) + SEGMENT)
-        if walk >= 3:
-            cost = min(cost, best[end - walk] + math.log10(40 * walk) + SEGMENT)
+        # a repeat or walk may begin behind a word or date that holds its first characters
+        for k in range(max(3, run - LONGEST), run + 1):
+            cost = min(cost, best[end - k] + math.log10(36 * k) + SEGMENT)
+        for k in range(max(3, walk - LONGEST), walk + 1):
+            cost = min(cost, best[end - k] + math.log10(40 * k) + SEGMENT)
         for size in range(3, min(LONGEST, end) + 1):
             start = end - size
             word = low[start:end]
