@@ -21,12 +21,12 @@ HEADLINES = (
 ).split()
 
 
-def strategies(n: int) -> list[rules.Strategy]:
-    """Rules in the shape of the usual ones: a trigger, a counter over one of four windows, a field guard."""
+def strategies(n: int, apart: bool = False) -> list[rules.Strategy]:
+    """Rules in the shape of the usual ones: a trigger, a counter over one of four windows, a field guard. apart: no two share a counter."""
     out = []
     for i in range(n):
         event = ("signup", "error", "click", "view", "purchase")[i % 5]
-        counter = {"kind": "counter", "counter": {"event": event, "window": (3600, 21_600, 86_400, 259_200)[i % 4], "algorithm": ("count", "sum", "count", "distinct_count")[i % 4], "operand": [[], ["amount"], [], ["grp"]][i % 4], "groupby": ["uid"]}}
+        counter = {"kind": "counter", "counter": {"event": event, "window": (3600, 21_600, 86_400, 259_200)[i % 4] + apart * i, "algorithm": ("count", "sum", "count", "distinct_count")[i % 4], "operand": [[], ["amount"], [], ["grp"]][i % 4], "groupby": ["uid"]}}
         tree = {"op": "and", "conditions": [{"left": {"kind": "event_field", "field": "amount"}, "op": ">", "right": {"kind": "constant", "value": str(i % 50)}}, {"left": counter, "op": ">", "right": {"kind": "constant", "value": str(1 + i % 3)}}]}
         out.append(rules.Strategy(f"rule_{i}", tree, event, action={"check_value": "uid", "dedup_window": 300}))
     return out
@@ -43,6 +43,7 @@ def main() -> None:
     events = readers.events_table(spark, sf).count()
     jobs = {q: (lambda q=q: catalog.QUERIES[q](spark, sf)) for q in HEADLINES}
     jobs |= {f"rules_{n}": (lambda n=n: rules.run(readers.events_table(spark, sf), strategies(n), catalog.EVENTS)) for n in (10, 50, 170)}
+    jobs["rules_170_apart"] = lambda: rules.run(readers.events_table(spark, sf), strategies(170, apart=True), catalog.EVENTS)
     took = {}
     for name, job in jobs.items():
         job().write.format("noop").mode("overwrite").save()  # compiles
