@@ -317,11 +317,11 @@ add(
     on_events(lambda e: burst(e, DELAYED).select("timestamp", "key")),
     f"SELECT a.ts + {5 * DAY} AS timestamp, CAST(a.uid AS VARCHAR) AS key FROM {EV} a WHERE a.name = 'view' AND a.ts + {5 * DAY} <= (SELECT MAX(ts) FROM {EV}) AND NOT EXISTS (SELECT 1 FROM {EV} b WHERE b.uid = a.uid AND b.name = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + {5 * DAY})",
 )
-LATE = rules.Strategy("late", {"left": {"kind": "event_field", "field": "amount"}, "op": ">", "right": {"kind": "constant", "value": "5"}}, "view", action=ACTION, delay=DELAYED.delay)
+PUT_OFF = rules.Strategy("late", {"left": {"kind": "event_field", "field": "amount"}, "op": ">", "right": {"kind": "constant", "value": "5"}}, "view", action=ACTION, delay=DELAYED.delay)
 _late = ORACLES["rule_delay_absence"].replace("SELECT a.ts", "SELECT a.amount, a.ts", 1) + " AND a.amount > 5"
 add(
     "rule_delay_explain",
-    on_events(lambda e: explained(burst(e, LATE))),
+    on_events(lambda e: explained(burst(e, PUT_OFF))),
     f"SELECT timestamp, key, 'amount' AS subject, ROUND(amount, 6) AS value, '>' AS operator, '5' AS threshold FROM ({_late}) UNION ALL SELECT timestamp, key, 'count(*) by uid in 432000s', 0, '==', '0' FROM ({_late})",
 )
 STEPS = rules.Strategy("funnel", action=ACTION, sequence={"steps": [{"event": "view"}, {"event": "error"}, {"event": "purchase"}], "within_seconds": 864_000, "by": ["uid"]})

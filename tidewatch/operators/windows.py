@@ -127,6 +127,8 @@ def running(
     return keyed.withColumn(out, aggregates.from_items(op, arrived, n)).drop(*extra, "_items")
 
 
+#: Events of a range of arrival that one task sorts for the watermark, at most.
+RANGE = 5_000_000
 ACCEPTED, LATE, DROPPED = "ACCEPTED", "LATE_ACCEPTED", "LATE_DROPPED"
 
 
@@ -134,18 +136,17 @@ def watermark(df: DataFrame, ts: str = "ts", seq: str = "seq", parts: int = 64)
     """df with the column watermark: the newest event time of the stream up to and with each event.
 
     The running maximum over the whole stream is taken in two steps: within ranges of arrival, and over the ranges'
-    maxima, of which there are `parts`; so no single task sees the stream.
+    maxima, of which there are `parts`, or more where a range would hold over RANGE events; so no single task sees the stream.
     """
     bounds = df.agg(F.min(seq), F.max(seq)).first()
     low, high = (bounds[0] or 0, bounds[1] or 0) if bounds else (0, 0)
-    width = max(1, -(-(high - low + 1) // parts))
+    width = max(1, min(RANGE, -(-(high - low + 1) // parts)))
     x = df.withColumn("_part", F.floor((F.col(seq) - low) / width))
     tops = x.groupBy("_part").agg(F.max(ts).alias("_top"))
     before = F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     tops = tops.select("_part", before.alias("_before"))
     inner = F.max(ts).over(Window.partitionBy("_part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    # at most `parts` rows
-    return x.join(F.broadcast(tops), "_part").withColumn("watermark", F.greatest("_before", inner)).drop("_part", "_before")
+    return x.join(tops, "_part").withColumn("watermark", F.greatest("_before", inner)).drop("_part", "_before")
 
 
 def classify(df: DataFrame, lateness: int = LATENESS, ts: str = "ts", seq: str = "seq") -> DataFrame:
