@@ -4,9 +4,10 @@
 2. Each set is ordered by that count, rarest first; two sets that are alike share a shingle among the first n - ceil(t n) + 1
    of each, the prefix. Equal sets are one class with one prefix, so copies are never paired.
 3. Classes meet in the shingles of their prefixes. First only neighbours in each shingle's list, ordered by size, are
-   candidates; what they link is joined to components. So are, in a few rounds, neighbours in other orders that lie in
-   different components; and last all pairs that meet and still lie in different ones. So a crowd of near copies gives
-   about as many candidates as members, and yet no link between components is lost.
+   candidates; what they link is joined to components. Then come each class with the one of its list that has the fewest
+   rarer shingles, and neighbours in an order by chance, where they lie in different components; and last all pairs that
+   meet and still lie in different ones. So a crowd of near copies, which are most like the text they were made from,
+   gives about as many candidates as members, and yet no link between components is lost.
 4. Candidates pass the length filter, the positional filter (the places of a shared shingle bound the overlap) and the
    suffix filter (the sets' numbers of shingles in each range of hashes bound it too), and are verified once each on the
    whole sets. For that the compressed texts of the classes in candidates are brought together, which are smaller than
@@ -41,7 +42,7 @@ RANGES, FULL = 128, 127
 #: Bits of the filter of ids whose texts are needed, 4 MB. Where that many ids are needed that it lets all through, a round
 #: of verification shuffles every text once, compressed.
 FILTER = 25
-#: How often neighbours are compared in another order before all pairs that are left.
+#: How often classes are compared in another order before all pairs that are left.
 ROUNDS = 2
 #: How many of a class's first open shingles a row carries.
 EARLY = 8
@@ -383,11 +384,17 @@ def jaccard_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size
     links = verified(tested[0])
     joined = components(links)
     dropped(links)
-    # Neighbours in other orders: they draw nearly all of a crowd into one component at the cost of a pair a member.
+    # Other orders draw nearly all of a crowd into one component at the cost of a pair a member: first each class with that
+    # of its list which has the fewest rarer shingles, so fewest of its own, then neighbours by chance.
     for turn in range(ROUNDS):
         known = _open_lists(met, joined)
-        by_chance = Window.partitionBy("shingle").orderBy(F.xxhash64("key", F.lit(turn)))
-        pairs = known.withColumn("other", F.lag(F.struct("key", "n", "component")).over(by_chance)).where("component <> other.component")
+        if turn == 0:
+            order = Window.partitionBy("shingle").orderBy("place", "key")
+            other = F.first(F.struct("key", "n", "component")).over(order)
+        else:
+            order = Window.partitionBy("shingle").orderBy(F.xxhash64("key", F.lit(turn)))
+            other = F.lag(F.struct("key", "n", "component")).over(order)
+        pairs = known.withColumn("other", other).where("component <> other.component")
         pairs = pairs.where(100 * F.least("n", "other.n") >= percent * F.greatest("n", "other.n"))
         tested.append(untested(pairs.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()))
         more = verified(tested[-1])
