@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import random
 import re
 from zlib import crc32
 
@@ -59,6 +60,17 @@ def test_jaccard(spark, sf):
     assert jaccard_join.jaccard_groups(docs(spark, ["x"]).limit(0)).count() == 0
     twice = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (0, "A  b")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.doc_id, r.component_id) for r in jaccard_join.jaccard_groups(twice).where("doc_id is not null").collect()) == [(False, 0, 0), (False, 1, 0), (False, 1, 0)]
+    # a crowd of near copies round a text that need not be among them, some too far from all
+    rng = random.Random(5)
+    for centre in (True, False):
+        crowd = [base * centre] if centre else []
+        for _ in range(150):
+            crowd.append([f"x{rng.random()}" if rng.random() < rng.choice((0.01, 0.02, 0.08)) else w for w in base])
+        crowd = [" ".join(c) for c in crowd]
+        groups_ = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(docs(spark, crowd)).collect()}
+        assert groups_ == brute_jaccard(enumerate(crowd))
+        left = sorted(r.doc_id for r in jaccard_join.first_of_each(docs(spark, crowd)).collect())
+        assert left == sorted({c for _, c in groups_.values()})
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op2_jaccard(spark, sf).collect()} == brute_jaccard(rows)
 

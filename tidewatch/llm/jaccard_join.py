@@ -231,6 +231,10 @@ def _prefixer(counts, size: int, percent: int):
     return lean(run)
 
 
+def _holds(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _texter(wanted, size: int):
     """(key, text) of the rows that the filter of ids lets through, their texts compressed."""
 
@@ -238,7 +242,7 @@ def _texter(wanted, size: int):
         bits = wanted.value
         for batch in batches:
             at = batch.column(1).to_numpy()
-            texts = batch.column(0).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            texts = batch.column(0).filter(pa.array(_holds(bits, at)))
             for _, part in _slices(texts):
                 hashes, owners = shingle_sets(part, size)
                 n = np.bincount(owners, minlength=len(part))
@@ -316,6 +320,16 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _let_through(wanted):
+    """Whether a filter of ids lets these hashes through."""
+
+    @F.arrow_udf("boolean")
+    def let(h: pa.Array) -> pa.Array:
+        return pa.array(_holds(wanted.value, h.to_numpy()))
+
+    return let
+
+
 def _unpacked(at: str, n: str, place: str) -> tuple[Column, Column]:
     return F.shiftright(at, 32).cast("int").alias(n), F.col(at).bitwiseAND(0x7FFFFFFF).cast("int").alias(place)
 
@@ -448,10 +462,14 @@ def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     twice = saved(linked.where("first").groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).count().where("count > 1").drop("count"))
     dropped(groups)
     marked = docs.withColumns({"_id": F.col(id).cast("long"), "_version": F.xxhash64(text)})
-    left = marked.join(gone, ["_id", "_version"], "left_anti")
+    # Only rows whose ids the filter lets through are joined, so the texts that surely stay are not shuffled.
+    needed = docs.sparkSession.sparkContext.broadcast(_id_bits(gone.unionByName(twice).select(F.col("_id").alias("id"))))
+    let = _let_through(needed)(F.shiftrightunsigned(F.xxhash64("_id"), 64 - FILTER))
+    left = marked.where(let).join(gone, ["_id", "_version"], "left_anti")
     if not twice.isEmpty():
         once = left.join(twice, ["_id", "_version"], "left_semi").dropDuplicates(["_id", "_version"])
         left = left.join(twice, ["_id", "_version"], "left_anti").unionByName(once)
+    left = left.unionByName(marked.where(~let))
     return left.drop("_id", "_version")
 
 
