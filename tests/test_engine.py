@@ -296,6 +296,31 @@ def test_streams_match_batches(spark, tmp_path, sf):
     assert {(r.seq, r.times) for r in done.collect()} == {(r.seq, ",".join(map(str, r.times))) for r in rules.sequences(rules.Compiler(e, both), s).collect()}
 
 
+def test_probes_of_keys_never_seen(spark):
+    e = spark.createDataFrame([(1, 1000, "view", "u", 2.0, "a"), (2, 2000, "view", "u", 3.0, "b")], "seq long, ts long, name string, uid string, amount double, grp string")
+    want = {m: EMPTY[m] for m in ("count", "sum", "max", "distinct_count", "lastn", "distinct", "collection", "group_count", "group_sum", "top")}
+    seen = {"lastn": [3.0, 2.0], "group_count": {"a": 1, "b": 1}, "group_sum": {"a": 2.0, "b": 3.0}}
+    for m, nothing in want.items():
+        v = Variable(m, "aggregate", ("view",), m, "amount", "grp" if m in ("group_count", "group_sum", "top") else "", ("uid",))
+        got = {r.uid: r[m] for r in Graph([v], Registry([EventType("view")])).probe(e, m, spark.createDataFrame([("u",), ("new",)], "uid string")).collect()}
+        assert got["new"] == nothing and type(got["new"]) is type(nothing), m
+        assert got["u"] == seen.get(m, got["u"]) and got["u"], m
+
+
+def test_state_that_no_longer_matters_is_removed(spark, tmp_path):
+    """Two keys fall silent, the watermark passes them with another key's events, and their state goes."""
+    rows = [(1, 5, "a"), (2, 10, "b"), (3, 10_000_000, "c"), (4, 10_000_001, "c"), (5, 20_000_000, "c"), (6, 20_000_001, "c")]
+    source = f"{tmp_path}/in"
+    for k in range(3):
+        spark.createDataFrame(rows[2 * k : 2 * k + 2], "seq long, ts long, uid string").coalesce(1).write.mode("append").parquet(source)
+        q = stateful.to_parquet(stateful.running_count(spark.readStream.schema("seq long, ts long, uid string").parquet(source), ["uid"], 1000), f"{tmp_path}/out", f"{tmp_path}/state")
+        q.processAllAvailable()
+        kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+        q.stop()
+    assert kept == 1
+    assert {(r.seq, r.value) for r in spark.read.parquet(f"{tmp_path}/out/*").collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 1), (6, 2)}
+
+
 def test_metadata(spark, tmp_path):
     from tidewatch.sources import metadata
 

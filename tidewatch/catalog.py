@@ -325,7 +325,27 @@ add(
     f"SELECT timestamp, key, 'amount' AS subject, ROUND(amount, 6) AS value, '>' AS operator, '5' AS threshold FROM ({_late}) UNION ALL SELECT timestamp, key, 'count(*) by uid in 432000s', 0, '==', '0' FROM ({_late})",
 )
 STEPS = rules.Strategy("funnel", action=ACTION, sequence={"steps": [{"event": "view"}, {"event": "error"}, {"event": "purchase"}], "within_seconds": 864_000, "by": ["uid"]})
-add("rule_sequence_3step", on_events(lambda e: burst(e, STEPS).select("timestamp", "key", F.size("variable_values").alias("steps"))))
+# A state for each event: the open sequences in the order they began, with the steps done (k) and the first and newest times.
+# An event goes to the one that has come farthest; as each name fits one step, that is the oldest that waits for it.
+_sequence_sql = f"""WITH RECURSIVE e AS (
+  SELECT uid, ts, name, ROW_NUMBER() OVER (PARTITION BY uid ORDER BY seq) AS n FROM {EV} WHERE name IN ('view', 'error', 'purchase')
+), s AS (
+  SELECT DISTINCT uid, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ts, CAST([] AS STRUCT(c BIGINT, k BIGINT, a BIGINT, b BIGINT)[]) AS p, false AS done FROM e
+  UNION ALL
+  SELECT uid, n, ts,
+    CASE
+      WHEN name = 'view' THEN list_append(CASE WHEN len(q) >= {rules.MOST_PARTIAL} THEN q[2:] ELSE q END, {{'c': n, 'k': 1, 'a': ts, 'b': ts}})
+      WHEN hit IS NULL THEN q
+      WHEN name = 'error' THEN list_transform(q, lambda x: CASE WHEN x.c = hit THEN {{'c': x.c, 'k': 2, 'a': x.a, 'b': ts}} ELSE x END)
+      ELSE list_filter(q, lambda x: x.c <> hit)
+    END,
+    name = 'purchase' AND hit IS NOT NULL
+  FROM (
+    SELECT *, list_filter(q, lambda x: x.k = CASE name WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END AND ts > x.b)[1].c AS hit
+    FROM (SELECT e.*, list_filter(s.p, lambda x: e.ts - x.a <= 864000000) AS q FROM s JOIN e ON e.uid = s.uid AND e.n = s.n + 1)
+  )
+) SELECT ts AS timestamp, CAST(uid AS VARCHAR) AS key, 3 AS steps FROM s WHERE done"""
+add("rule_sequence_3step", on_events(lambda e: burst(e, STEPS).select("timestamp", "key", F.size("variable_values").alias("steps"))), _sequence_sql)
 
 
 def cascade(e: DataFrame) -> DataFrame:

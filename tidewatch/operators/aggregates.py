@@ -106,20 +106,20 @@ def from_items(op: str, items: Column, n: int | None = None) -> Column:
         entries = F.flatten(F.transform(items, lambda s: F.map_entries(s["v"])))
         return _sums(entries, lambda e: e["key"], lambda e: e["value"].cast("double"))
     if op == "group_count":
-        return _sums(F.filter(items, lambda s: s["g"].isNotNull()), lambda s: s["g"], lambda s: F.lit(1).cast("long"))
+        return _sums(F.filter(items, lambda s: s["g"].isNotNull()), lambda s: s["g"], lambda s: F.lit(1).cast("long"), F.lit(0).cast("long"))
     grouped = F.filter(items, lambda s: s["g"].isNotNull())
     if op == "group_sum":
         return _sums(grouped, lambda s: s["g"], lambda s: s["v"].cast("double"))
     return top(_sums(grouped, lambda s: s["g"], lambda s: F.coalesce(s["v"].try_cast("double"), F.lit(1.0))), n)
 
 
-def _sums(entries: Column, key: Callable, value: Callable) -> Column:
+def _sums(entries: Column, key: Callable, value: Callable, zero: Column | None = None) -> Column:
     """A map, in order of its keys, of the sums of the entries' values by key."""
     keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: key(e).cast("string"))))
 
     def total(k):
         own = F.transform(F.filter(entries, lambda e: key(e).cast("string") == k), value)
-        return F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
+        return F.aggregate(own, F.lit(0.0) if zero is None else zero, lambda a, b: a + b)
 
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, total(k))))
 

@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType
 from pyspark.sql.window import Window
 
 from tidewatch.functions import conditions
@@ -46,7 +47,7 @@ class Variable:
         source = tuple(s["name"] for s in d.get("source") or ())
         param = (f.get("config") or {}).get("param", f.get("param", ""))
         period = windows.Period(p.get("type", ""), p.get("value")) if d["type"] in ("aggregate", "sequence") else windows.Period()
-        return cls(d["name"], d["type"], source, f.get("method", ""), f.get("object", ""), str(param), tuple(d.get("groupbykeys") or ()), period, d.get("filter") or None, d.get("mapping"))
+        return cls(d["name"], d["type"], source, f.get("method", ""), f.get("object", ""), str(param), tuple(d.get("groupbykeys") or ()), period, d.get("filter") or None, d.get("mapping"), bool(d.get("mapping_first")))
 
     @property
     def number(self) -> int | None:
@@ -68,7 +69,7 @@ class Graph:
 
     def order(self, wanted: list[str]) -> list[Variable]:
         """What is needed for the wanted ones, each after what it stands on; a cycle is an error."""
-        done: list[Variable] = []
+        done: dict[str, Variable] = {}
         open_: list[str] = []
 
         def visit(name: str) -> None:
@@ -78,18 +79,18 @@ class Graph:
                 if name in self.events.types:
                     return
                 raise ValueError(f"{name!r} is neither a variable nor an event")
-            if any(v.name == name for v in done):
+            if name in done:
                 return
             open_.append(name)
             for s in self.variables[name].sources:
                 if s != name:
                     visit(s)
             open_.pop()
-            done.append(self.variables[name])
+            done[name] = self.variables[name]
 
         for name in wanted:
             visit(name)
-        return done
+        return list(done.values())
 
     def extended(self, more: list[Variable]) -> tuple[Graph, list[str]]:
         """The graph with more variables, and the names of those that start without history."""
@@ -108,14 +109,19 @@ class Graph:
         v = self.variables[name]
         seen = self.compile(df, [name], ordered).where(F.col(name).isNotNull())
         last = seen.groupBy(*v.keys).agg(F.max_by(name, "seq").alias(name))
-        return keys.join(last, list(v.keys), "left").withColumn(name, F.coalesce(F.col(name), empty(v)) if empty(v) is not None else F.col(name))
-
-
-def empty(v: Variable) -> Column | None:
-    """What an aggregate gives for no input, where that isn't null."""
-    if v.type == "aggregate" and v.method in ("count", "distinct_count"):
-        return F.lit(0).cast("long")
-    return F.lit(0.0) if v.type == "aggregate" and v.method in ("sum", "variance", "stddev") else None
+        nothing = empty(v, last.schema[name].dataType)
+        return keys.join(last, list(v.keys), "left").withColumn(name, F.col(name) if nothing is None else F.coalesce(name, nothing))
+
+
+def empty(v: Variable, kind: DataType) -> Column | None:
+    """What an aggregate of this type gives for no input, where that isn't null: 0, an empty list or an empty map."""
+    if v.type != "aggregate":
+        return None
+    if isinstance(kind, ArrayType):
+        return F.array().cast(kind)
+    if isinstance(kind, MapType):
+        return F.create_map().cast(kind)
+    return F.lit(0).cast(kind) if v.method in ("count", "distinct_count", "distinct_count_approx", "sum", "variance", "stddev") else None
 
 
 def validate(v: Variable, graph: Graph) -> None:
