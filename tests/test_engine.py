@@ -389,3 +389,10 @@ def test_hourly_rollup_of_many_subjects(spark):
     two = serving.rollup_counts(serving.events_hourly(x, ("name",), ("uid", "did"))).collect()
     assert [r.asDict() for r in two] == [{"hour": 0, "name": "view", "cnt": 6001, "uid": 3000, "did": x.select("did").distinct().count()}]
     assert [tuple(r) for r in serving.rollup_counts(serving.events_hourly(x, subjects=())).collect()] == [(0, "view", 6001)]
+
+
+def test_merged_rollups_of_many_subjects(spark):
+    x = many_subjects(spark)
+    parts = [serving.events_hourly(x.where(f"pmod(seq, 3) = {k}")) for k in range(3)]
+    merged = serving.merged_rollup(parts[0].unionByName(parts[1]), ["hour", "name"])
+    assert [tuple(r) for r in serving.rollup_counts(serving.merged_rollup(merged.unionByName(parts[2]), ["hour", "name"])).collect()] == [(0, "view", 6001, 3000)]
