@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch import catalog
 from tidewatch.functions import cel, conditions, geo, masking, sketches
 from tidewatch.operators import aggregates, rules, serving, windows
 from tidewatch.operators.windows import Period
@@ -396,3 +397,17 @@ def test_merged_rollups_of_many_subjects(spark):
     parts = [serving.events_hourly(x.where(f"pmod(seq, 3) = {k}")) for k in range(3)]
     merged = serving.merged_rollup(parts[0].unionByName(parts[1]), ["hour", "name"])
     assert [tuple(r) for r in serving.rollup_counts(serving.merged_rollup(merged.unionByName(parts[2]), ["hour", "name"])).collect()] == [(0, "view", 6001, 3000)]
+
+
+def test_top_adds_up_in_order_of_arrival(spark, tmp_path):
+    """Sums that are equal but for their last bits, stored in another order than that of arrival."""
+    rows = [(4, "a", 0.6), (3, "b", 0.3), (2, "b", 0.2), (1, "b", 0.1)]
+    x = spark.createDataFrame([(seq, 7, k, v) for seq, k, v in rows], "event_id long, user_id long, k string, value double").coalesce(1)
+    number = F.when(F.col("k") == "a", 1).otherwise(2)
+    x = x.select("event_id", F.timestamp_millis("event_id").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value", F.to_json(F.struct(number.alias("k"))).alias("props"))
+    x.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["agg_top_grouped"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert 0.1 + 0.2 + 0.3 > 0.6 == 0.3 + 0.2 + 0.1 and [(r.rank, r.g, r.value) for r in got] == [(1, 2, 0.6), (2, 1, 0.6)]
+    # a repeated or missing place in the order loses nothing
+    y = spark.createDataFrame([(1, 1.0), (1, 2.0), (None, 4.0)], "seq long, v double").withColumn("k", F.lit(0))
+    assert [tuple(r) for r in aggregates.grouped_top(y, ["k"], F.lit("g"), F.col("v"), seq=F.col("seq")).collect()] == [(0, "g", 7.0, 1)]

@@ -93,7 +93,7 @@ add("agg_group_count_grouped", on_events(lambda e: aggregates.grouped_map(e, ["u
 add("agg_group_sum_grouped", on_events(lambda e: aggregates.grouped_map(e, ["uid"], F.col("grp"), F.col("amount"), "group_sum").withColumn("value", r(F.col("value")))), f"SELECT uid, grp AS g, ROUND(SUM(amount), 6) AS value FROM {EV} GROUP BY uid, grp")
 add(
     "agg_top_grouped",
-    on_events(lambda e: aggregates.grouped_top(e, ["uid"], F.col("grp"), F.col("amount"), 3).withColumn("value", r(F.col("value")))),
+    on_events(lambda e: aggregates.grouped_top(e, ["uid"], F.col("grp"), F.col("amount"), 3, F.col("seq")).withColumn("value", r(F.col("value")))),
     f"SELECT uid, grp AS g, ROUND(value, 6) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT uid, grp, SUM(amount) AS value, ROW_NUMBER() OVER (PARTITION BY uid ORDER BY SUM(amount) DESC, grp) AS rank FROM {EV} GROUP BY uid, grp) WHERE rank <= 3",
 )
 for _op, _sql in (("merge", "ARG_MAX(amount, ts)"), ("merge_value", "SUM(amount)")):

@@ -136,10 +136,22 @@ def grouped_map(df: DataFrame, keys: list[str], g: Column, v: Column, op: str =
     return df.where(g.isNotNull() & v.isNotNull()).groupBy(*keys, g.alias("g")).agg(value.alias("value"))
 
 
-def grouped_top(df: DataFrame, keys: list[str], g: Column, v: Column, n: int = TOPN) -> DataFrame:
-    """(keys, rank, g, value): each key's n largest group sums; an operand that isn't numeric counts 1."""
+def grouped_top(df: DataFrame, keys: list[str], g: Column, v: Column, n: int = TOPN, seq: Column | None = None) -> DataFrame:
+    """(keys, rank, g, value): each key's n largest group sums; an operand that isn't numeric counts 1.
+
+    Sums that differ in their last bits are ranked by these, so with seq each is added up in order of arrival, like
+    from_items does, and doesn't depend on where partitions begin.
+    """
     number = F.coalesce(v.try_cast("double"), F.lit(1.0))
-    sums = df.where(g.isNotNull() & v.isNotNull()).groupBy(*keys, g.alias("g")).agg(F.sum(number).alias("value"))
+    x = df.where(g.isNotNull() & v.isNotNull())
+    if seq is None:
+        sums = x.groupBy(*keys, g.alias("g")).agg(F.sum(number).alias("value"))
+    else:
+        # a running sum is added up row by row and needs no list of a group in memory
+        x = x.select(*keys, g.alias("g"), seq.alias("_seq"), number.alias("_number"))
+        arrived = Window.partitionBy(*keys, "g").orderBy("_seq", "_number").rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumns({"_sum": F.sum("_number").over(arrived), "_place": F.count("*").over(arrived)})
+        sums = x.groupBy(*keys, "g").agg(F.max_by("_sum", "_place").alias("value"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "g"))
     return sums.withColumn("rank", rank).where(F.col("rank") <= n)
 
