@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, html_text, jaccard_join, lm_score, near_vectors, quality, secrets, substring_dedup
+from tidewatch.llm import common, decontaminate, html_text, jaccard_join, lm_score, near_vectors, quality, secrets, substring_dedup
 
 DOCS = "doc_id long, text string, class long, n int, set string"
 
@@ -362,3 +362,52 @@ def test_pipeline_edges(spark, sf, tmp_path):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     # without labels all score alike, and stay
     assert pipeline.run(spark, path).count() == 10
+
+
+def test_components_of_few_and_of_many_edges(spark):
+    """One task and rounds give the same, of numbers and of bytes, with loops, nulls, repeated and reversed edges."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (130, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2100)]
+    edges += [(b, a) for a, b in edges[:40]] + [(5000, 5000), (None, 1), (1, None)]
+    up = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a in up and b in up and up[a] != up[b]:
+                up[a] = up[b] = min(up[a], up[b])
+                changed = True
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for few in (0, common.FEW):
+        assert {r.node: r.component for r in common.components(df, few=few).collect()} == up
+    as_bytes = lambda x: None if x is None else (x + 200 << 50).to_bytes(8)
+    df = spark.createDataFrame([(as_bytes(a), as_bytes(b)) for a, b in edges], "a binary, b binary")
+    for few in (0, common.FEW):
+        got = common.components(df, few=few).collect()
+        assert {bytes(r.node): bytes(r.component) for r in got} == {as_bytes(a): as_bytes(b) for a, b in up.items()} and len(got) == len(up)
+    assert common.components(df.limit(0)).count() == 0
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_jobs_do_not_grow_with_partitions(spark):
+    """A job for each partition, or rounds over a few edges, would make hundreds of short jobs."""
+    df = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found, jobs = jobs_of(spark, lambda: common.components(df))
+    assert {r.component for r in found.collect()} == {0} and jobs <= 8
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        bits, jobs = jobs_of(spark, lambda: jaccard_join._id_bits(df.select(F.col("a").alias("id"))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert np.unpackbits(bits).sum() == 400 and jobs <= 10

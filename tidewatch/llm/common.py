@@ -10,13 +10,17 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[1]
 #: Removes an execution's shuffle files when it ends, instead of when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Edges up to which one task joins components, in some 30 MB; more are joined by all tasks in rounds.
+FEW = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,15 +141,49 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges at once."""
+    edges = list(batches)
+    ends = pa.chunked_array([b.column(k) for k in (0, 1) for b in edges], edges[0].schema.field(0).type if edges else pa.int64())
+    if not len(ends):
+        return
+    coded = ends.combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    nodes = coded.dictionary.take(order)
+    place = np.empty(len(nodes), np.int64)
+    place[order.to_numpy()] = np.arange(len(nodes))
+    u, v = place[coded.indices.to_numpy()].reshape(2, -1).tolist()
+    up = list(range(len(nodes)))
+    for a, b in zip(u, v):
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    for k, x in enumerate(up):  # what stands above a node is less, so done
+        up[k] = up[x]
+    out = pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(up))], ["node", "component"])
+    for at in range(0, len(out), 1 << 14):
+        yield out.slice(at, 1 << 14)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge; a saved table.
 
-    Alternates large-star and small-star steps until the edge set no longer changes; each ends as a star round its
-    smallest node. Minima are written before they are joined, so that the joins are plain ones whose hubs Spark splits.
+    Up to `few` edges are joined in one task, as rounds over them would be jobs with next to nothing to do. More alternate
+    large-star and small-star steps until the edge set no longer changes; each ends as a star round its smallest node. Minima are written before they are joined, so that the joins are plain ones whose hubs Spark splits.
     Self-loops, nulls and repeated or reversed edges make no difference.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    e = given = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
+    if e.count() <= few:
+        ship(e.sparkSession)
+        kind = e.schema["u"].dataType.simpleString()
+        out = saved(e.coalesce(1).mapInArrow(lean(_joined), f"node {kind}, component {kind}"))
+        dropped(e)
+        return out
     e = saved(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    dropped(given)
     before = None
     while True:
         # A state is known by the number, sum and hash of its edges; two equal states in turn are the end.

@@ -313,7 +313,7 @@ def _open_lists(met: DataFrame, joined: DataFrame) -> DataFrame:
 def _id_bits(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size that lets these ids through, and others whose hashes meet one of theirs."""
     at = ids.select((F.shiftrightunsigned(F.xxhash64("id"), 64 - FILTER)).alias("h"))
-    rows = at.groupBy(F.expr("h div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits")).toLocalIterator()
+    rows = at.groupBy(F.expr("h div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(h % 32768)").alias("bits")).collect()  # 4 MB at most; an iterator would take a job for each partition
     out = np.zeros(1 << FILTER - 3, np.uint8)
     for r in rows:
         out[r.k << 12 : (r.k + 1) << 12] = np.frombuffer(r.bits, np.uint8)
