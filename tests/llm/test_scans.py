@@ -229,3 +229,14 @@ def test_guess_cost_against_all_segmentations():
             if None not in costs:
                 best = min(best, sum(costs))
         assert abs(secrets.guess_cost(value) - best) < 1e-9, value
+
+
+def test_no_definition_replaces_another():
+    """A second function of a module's name hides the first: encode's was one that kept its workers' memory."""
+    import ast
+    import collections
+    from pathlib import Path
+
+    for p in Path(bpe.__file__).parents[1].rglob("*.py"):
+        names = collections.Counter(x.name for x in ast.parse(p.read_text()).body if isinstance(x, ast.FunctionDef | ast.ClassDef))
+        assert not [n for n, k in names.items() if k > 1], p

@@ -221,60 +221,6 @@ def encode(spark: SparkSession, text: Column, path: str) -> Column:
     return F.arrow_udf(lean(run, keeps=True), "array<int>")(text)
 
 
-def decode(self, ids: Iterable[int] | None) -> str:
-        if ids is None:
-            return ""
-        try:
-            raw = b"".join(map(self.bytes.__getitem__, ids))
-        except KeyError:
-            raw = b"".join(self.bytes.get(i, b"") for i in ids)
-        return raw.decode("utf-8", "replace")
-
-
-class _Units(dict):
-    """By what follows a space up to the next one: the ids of both. What was last used before it was full is kept aside."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.unit, self.older = tokenizer.unit, {}
-
-    def __missing__(self, rest: str) -> bytes:
-        packed = self.older.get(rest) or self.unit(" " + rest)
-        if len(rest) <= LONGEST_UNIT:
-            if len(self) >= UNITS:
-                self.older = dict(self)
-                self.clear()
-            self[rest] = packed
-        return packed
-
-
-def _tokenizer(spec) -> Tokenizer:
-    return kept(("bpe", hash(spec.value)), lambda: Tokenizer(spec.value))
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))
-
-
-def _spec(spark: SparkSession, path: str):
-    """The tokenizer's file is read on the driver and broadcast: it is of a fixed size, whatever the corpus."""
-    ship(spark)
-    with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
-
-
-def encode(spark: SparkSession, text: Column, path: str) -> Column:
-    """array<int>: the ids of each text."""
-    spec = _spec(spark, path)
-
-    @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        t = _tokenizer(spec)
-        return _lists([t.encode(x) for x in texts.to_pylist()])
-
-    return run(text)
-
-
 def decode(spark: SparkSession, ids: Column, path: str) -> Column:
     """string: the text of each list of ids."""
     spec = _spec(spark, path)
