@@ -33,6 +33,19 @@ def test_query(spark, sf, con, name):
         assert got == sorted((tuple(plain(dict(zip(names, row))[c]) for c in columns) for row in found.fetchall()), key=repr)
 
 
+def test_loads_hold_events_of_any_number(spark, tmp_path):
+    """Numbers below zero, missing and with fractions, in both loads."""
+    events = "SELECT {} AS event_id, TIMESTAMP '2024-01-01' + INTERVAL 20 MINUTE * id AS ts, 'view' AS event_type, id % 4 AS user_id, 1.5::DOUBLE AS value, '{{}}' AS props FROM range(90) t(id)"
+    for k, number in enumerate(("id - 50", "CASE WHEN id % 3 > 0 THEN id END", "id / 4.0::DOUBLE - 3", "CASE WHEN id % 5 = 0 THEN 'nan'::DOUBLE ELSE id END")):
+        (tmp_path / str(k)).mkdir()
+        c = duckdb.connect()
+        c.execute(f"COPY ({events.format(number)}) TO '{tmp_path}/{k}/events.parquet'")
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{k}/events.parquet'")
+        want = sorted(c.execute(catalog.ORACLES["rollup_incremental"]).fetchall())
+        got = catalog.QUERIES["rollup_incremental"](spark, f"{tmp_path}/{k}").select("hour", "name", "cnt", "uid")
+        assert len(want) == 30 and sorted(map(tuple, got.collect())) == want
+
+
 def test_partitions_make_no_difference(spark, sf):
     results = []
     for n in ("1", "2", "5"):

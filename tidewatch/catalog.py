@@ -390,7 +390,8 @@ add(
 add("rollup_hourly", on_events(lambda e: serving.rollup_counts(serving.events_hourly(e))), f"SELECT ts - ts % {HOUR} AS hour, name, COUNT(*) AS cnt, COUNT(DISTINCT uid) AS uid FROM {EV} GROUP BY 1, 2")
 add(
     "rollup_incremental",
-    on_events(lambda e: serving.rollup_counts(serving.merged_rollup(serving.events_hourly(e.where("seq % 2 = 0")).unionByName(serving.events_hourly(e.where("seq % 2 = 1"))), ["hour", "name"]))),
+    # every event is in one load, whatever its number, also without one
+    on_events(lambda e: serving.rollup_counts(serving.merged_rollup(serving.events_hourly(e.where("seq % 2 <=> 0")).unionByName(serving.events_hourly(e.where("NOT seq % 2 <=> 0"))), ["hour", "name"]))),
     ORACLES["rollup_hourly"],
 )
 
