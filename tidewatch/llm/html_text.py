@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ascii_lower, partitions, pinned, ship, table
+from tidewatch.llm.common import ascii_lower, dealt, partitions, ship, table
 
 #: Elements that hold no text, that aren't of the article, that are, and that end a line.
 SILENT = frozenset("script style template noscript svg math iframe object head title select textarea button audio video canvas map".split())
@@ -177,9 +177,9 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: s
     rows = pages.select(*own, host.alias("host"), path.alias("path"), F.col(html).alias("html"))
     kinds = ", ".join(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     rows = rows.mapInArrow(_reader, f"{kinds}, host string, path string, lines binary")
-    rows = rows.repartitionByRange(partitions(spark), "host", "path", *(f"k{i}" for i in range(len(keep))))
-    # kept, so that both passes see the same partitions
-    rows = pinned(rows.sortWithinPartitions("host", "path", *(f"k{i}" for i in range(len(keep)))))
+    order = ["host", "path", *(f"k{i}" for i in range(len(keep)))]
+    # dealt once and sorted down to the lines, so that both passes see the same rows in the same order
+    rows = dealt(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "lines"))
     edges = rows.select("host", "path", "lines").mapInArrow(_edges, "part int, place int, host string, first string, last string, lines binary")
     sent = spark.sparkContext.broadcast(_beside(edges.toArrow().sort_by([("part", "ascending"), ("place", "ascending")]).to_pylist()))
     texts = rows.mapInArrow(_differencer(len(keep), sent), f"{kinds}, text string")
