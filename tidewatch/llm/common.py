@@ -55,7 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df on the files of its shuffle, which is made here, once: all that reads it sees the same partitions, without a copy.
+    """df on the files of its shuffle, which is made once: all that reads it sees the same partitions, without a copy.
 
     Lost files are made anew for the same partitions. The files go when nothing refers to the result any more.
     """
